@@ -7,6 +7,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 TOP = 0x110000
 #: Code points from here on (rare ideographs, tags, private use) neither fold nor count as space, punctuation or symbol.
@@ -158,3 +159,15 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
     hashes = mix(sums[first + length] - sums[first]) if len(starts) else np.zeros(0, np.uint64)
     return hashes, np.searchsorted(starts, rows), starts, ends
+
+
+def pieces(batch: pa.RecordBatch, column: int, limit: int = 2_000_000) -> list[pa.RecordBatch]:
+    """The batch cut into slices of about `limit` bytes of text, or of one row where a row has more."""
+    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    out, i = [], 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
+        out.append(batch.slice(i, j - i))
+        i = j
+    return out
