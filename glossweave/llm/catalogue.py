@@ -1,7 +1,7 @@
 """The subpackage's named queries and their SQL."""
 
-from glossweave.llm import leaks, variants
+from glossweave.llm import leaks, spam, variants
 
-_MODULES = (variants, leaks)
+_MODULES = (variants, leaks, spam)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
