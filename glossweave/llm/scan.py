@@ -161,7 +161,7 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return hashes, np.searchsorted(starts, rows), starts, ends
 
 
-def pieces(batch: pa.RecordBatch, column: int, limit: int = 2_000_000) -> list[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: int, limit: int = 500_000) -> list[pa.RecordBatch]:
     """The batch cut into slices of about `limit` bytes of text, or of one row where a row has more."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at = np.concatenate([[0], np.cumsum(lengths)])

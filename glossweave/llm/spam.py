@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from glossweave.llm.scan import characters, mix, pieces, words
 from glossweave.session import cut
 
-#: Text on disk that one block of documents holds; a block's dictionary is made and read in one task.
-BLOCK_BYTES = 8 << 20
+#: Table size on disk of one block of documents; a block's dictionary is made and read in one task. 1 MB takes about
+#: 35 MB of a task's memory, so on larger executors larger blocks leave fewer repeated words to send.
+BLOCK_BYTES = 4 << 20
 #: A page is spam when its neighbouring words are repeated collocations to at least this degree, when a single
 #: collocation makes up at least TOP of them (for pages of ENOUGH words; chants in articles stay below), ...
 STUFFED, TOP, ENOUGH = 0.58, 0.15, 20
@@ -89,14 +90,19 @@ def _scan(shards: int):
         block = TaskContext.get().partitionId()
         h = np.concatenate(own) if own else np.zeros(0, np.uint64)
         g = np.concatenate(pairs) if pairs else np.zeros(0, np.uint64)
+        del own, pairs
         # words have keys with the lowest bit 0, pairs with 1; keys are ordered by shard, then by key
         keys = np.concatenate([h & ~np.uint64(1), g | np.uint64(1)])
+        del h, g
         keys = (keys % np.uint64(shards) << np.uint64(48)) | (keys >> np.uint64(17) << np.uint64(1) & np.uint64(2**48 - 1)) | (keys & np.uint64(1))
         unique, number, tf = np.unique(keys, return_inverse=True, return_counts=True)
+        number = number.astype(np.int32)
+        del keys
         at = np.repeat(np.arange(n_docs), np.concatenate(sizes))
         seen = np.unique(number.astype(np.int64) << 32 | np.concatenate([at, np.concatenate(owner) if owner else at[:0]]))
         df = np.bincount(seen >> 32, minlength=len(unique))
-        out = [(0, shards + block, block, np.concatenate([np.concatenate(ids), np.concatenate(sizes), np.concatenate(prose)]).tobytes(), _pack(number.astype(np.int32)), len(number).to_bytes(8, "little"), b"")]
+        del seen, at
+        out = [(0, shards + block, block, np.concatenate([np.concatenate(ids), np.concatenate(sizes), np.concatenate(prose)]).tobytes(), _pack(number), len(number).to_bytes(8, "little"), b"")]
         bounds = np.searchsorted(unique, np.arange(shards + 1, dtype=np.uint64) << np.uint64(48))
         for s in range(shards):
             a, b = bounds[s], bounds[s + 1]
@@ -165,7 +171,7 @@ def score_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     if blocks is None:
         volume = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        blocks = max(1, min(1_000_000, -(-volume // block_bytes)))
+        blocks = max(1, -(-volume // block_bytes))
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks)
     shards = min(shards, 32_768)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
