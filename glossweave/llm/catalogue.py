@@ -1,7 +1,7 @@
 """The subpackage's named queries and their SQL."""
 
-from glossweave.llm import canonical, leaks, spam, variants
+from glossweave.llm import canonical, leaks, mojibake, spam, variants
 
-_MODULES = (variants, canonical, leaks, spam)
+_MODULES = (variants, canonical, mojibake, leaks, spam)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
