@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from glossweave.operators.consensus import build_consensus, drop_sentinel
-from glossweave.operators.nested import flat_table, read_flat_table, tag_submissions
+from glossweave.operators.nested import read_flat_table, tag_submissions
 
 SUBMISSIONS = "submission_key string, received_at timestamp, payload string"
 
@@ -46,7 +46,7 @@ def consensus_stream(rows: DataFrame, tables: str, out: str, checkpoint: str) ->
         spark = df.sparkSession
         tagged = tag_submissions(df)
         tagged.write.mode("overwrite").partitionBy("tag").parquet(f"{tables}/batch={number}")
-        touched = flat_table(spark.read.parquet(f"{tables}/batch={number}").withColumn("tag", F.col("tag").cast("string")), "annotations").select("article_id").distinct()
+        touched = read_flat_table(spark, f"{tables}/batch={number}", "annotations").select("article_id").distinct()
         spans = read_flat_table(spark, tables, "annotations").join(touched, "article_id", "left_semi")
         build_consensus(annotation_order(spans)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
