@@ -124,5 +124,47 @@ def p2_unmatched(spark, d):
     return _mapped(spark, d)[1].where("ref_id = 0").select(F.col("kind").alias("field_name"), "value", F.col("n").alias("n_rows"))
 
 
+def _only(x: str) -> str:
+    return f"regexp_replace({x}, '[^a-z0-9]', '', 'g')"
+
+
+def _sorted(x: str) -> str:
+    return _only(f"array_to_string(list_sort(string_split(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'), ' ')), '')")
+
+
+def _lost(a: str, b: str) -> str:
+    return f"coalesce(list_sum(list_transform(list_distinct(string_split({a}, '')), lambda c: CASE WHEN c = '' THEN 0 ELSE greatest(0, length({a}) - length(replace({a}, c, '')) - (length({b}) - length(replace({b}, c, '')))) END)), 0)"
+
+
+#: The same rules in DuckDB by brute force: every value against every name, without segments.
+_BRUTE = f"""WITH fields AS (
+  SELECT llm_id, 'category' AS kind, category AS value FROM test_chatgpt UNION ALL SELECT llm_id, 'subcategory', subcategory FROM test_chatgpt
+), spelled AS (
+  SELECT * FROM fields f WHERE regexp_matches(value, '[^\\s\\p{{Z}}]') AND NOT EXISTS (SELECT 1 FROM label_reference r WHERE r.ref_kind = f.kind AND r.canonical = f.value)
+), cleaned AS (
+  SELECT DISTINCT kind, value, regexp_replace(regexp_replace(lower(translate(value, '{LOOKALIKES[0]}', '{LOOKALIKES[1]}')),
+    '^[^a-z0-9#(]*([#]?[0-9]+[.):]?[ ]+|[(]?[a-z0-9][.):][ ]+)?', ''), '[ ]*[(\\[][^)\\]]*[)\\]][^a-z0-9]*$', '') AS t FROM spelled
+), variants AS (
+  SELECT kind, value, {_only("t")} AS v, 0 AS how FROM cleaned UNION ALL
+  SELECT kind, value, {_sorted("t")}, 1 FROM cleaned WHERE regexp_matches(trim(t), '[a-z0-9][^a-z0-9]+[a-z0-9]') UNION ALL
+  SELECT kind, value, {_only("regexp_replace(t, '( [-/] |, | - ).*$', '')")}, 2 FROM cleaned WHERE regexp_matches(t, ' [-/] |, ')
+), names AS (
+  SELECT ref_id, ref_kind AS kind, unnest(list_concat([canonical], coalesce(aliases, []))) AS name FROM label_reference
+), forms AS (
+  SELECT DISTINCT ref_id, kind, {_only("lower(name)")} AS r, 0 AS how FROM names UNION SELECT DISTINCT ref_id, kind, {_sorted("lower(name)")}, 1 FROM names
+), near AS (
+  SELECT v.kind, v.value, f.ref_id, v.how AS step, (levenshtein(v.v, f.r) + greatest({_lost("v.v", "f.r")}, {_lost("f.r", "v.v")})) / 2.0 AS slips, f.r
+  FROM variants v JOIN forms f ON v.kind = f.kind AND (v.how = f.how OR (v.how = 2 AND f.how = 0)) WHERE v.v <> '' AND levenshtein(v.v, f.r) <= {EDITS.format("f.r")}
+), short AS (
+  SELECT v.kind, v.value, min(f.ref_id) AS ref_id, 3 AS step, 1.5 AS slips FROM variants v JOIN forms f ON v.kind = f.kind AND v.how = 0 AND f.how = 0
+    AND length(v.v) >= {PREFIX} AND length(v.v) < length(f.r) AND starts_with(f.r, v.v) GROUP BY 1, 2 HAVING count(DISTINCT f.ref_id) = 1
+), meant AS (
+  SELECT kind, value, first(ref_id ORDER BY slips, step, ref_id) AS ref_id FROM
+    (SELECT kind, value, ref_id, step, slips FROM near WHERE slips <= {SLIPS.format("r")} UNION ALL SELECT kind, value, ref_id, step, slips FROM short) GROUP BY 1, 2
+)"""
+
 QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "p2_found": f"{_BRUTE} SELECT s.llm_id, s.kind AS field_name, coalesce(m.ref_id, 0)::INT AS ref_id FROM spelled s LEFT JOIN meant m USING (kind, value)",
+    "p2_unmatched": f"{_BRUTE} SELECT s.kind AS field_name, s.value, count(*) AS n_rows FROM spelled s LEFT JOIN meant m USING (kind, value) WHERE m.ref_id IS NULL GROUP BY 1, 2",
+}
