@@ -87,7 +87,8 @@ def build_consensus(spans: DataFrame, pad: int = 2, capped: bool = False) -> Dat
     otherwise the texts are narrowed one after the other to the words that they share, each different
     text once. Spans with a null article or text are left out; null labels vote as a label of their own.
     """
-    spans = spans.where(F.col("article_id").isNotNull() & F.col("text").isNotNull())
+    named = spans.select("article_id", "ord", "text", "category", "subcategory", "worker")
+    spans = cut(named.where(F.col("article_id").isNotNull() & F.col("text").isNotNull()))
     classes = cut(span_classes(spans))
     clusters = leader_clusters(classes, cut(matching_pairs(classes)))
     of_text = classes.join(clusters, ["article_id", "ord"]).select("article_id", "norm", "content", F.col("ord").alias("first_ord"), "leader")

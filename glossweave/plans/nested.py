@@ -36,20 +36,20 @@ ORACLE = {
   SELECT submission_key, CASE WHEN json_type(j->'$.textAnnotations') = 'VARCHAR' AND json_valid(j->>'$.textAnnotations')
     THEN (j->>'$.textAnnotations')::JSON ELSE j->'$.textAnnotations' END AS ta FROM j
 ), m AS (
-  SELECT submission_key, unnest(json_keys(ta)) AS k, NULL AS i, ta FROM t WHERE json_type(ta) = 'OBJECT'
+  SELECT submission_key, unnest(json_keys(ta)) AS k, NULL::BIGINT AS i, ta FROM t WHERE json_type(ta) = 'OBJECT'
   UNION ALL
-  SELECT submission_key, NULL, unnest(range(json_array_length(ta)::BIGINT)), ta FROM t WHERE json_type(ta) = 'ARRAY'
+  SELECT submission_key, NULL::VARCHAR, unnest(range(json_array_length(ta)::BIGINT)), ta FROM t WHERE json_type(ta) = 'ARRAY'
 ), a AS (
   SELECT submission_key, coalesce(try_cast(k AS BIGINT), i) AS article_id,
     CASE WHEN k IS NOT NULL THEN json_extract(ta, '$."' || k || '"') ELSE json_extract(ta, '$[' || i || ']') END AS v FROM m
 ), e AS (
-  SELECT submission_key, article_id, unnest(range(json_array_length(v)::BIGINT)) AS pos, v, NULL AS pk FROM a WHERE json_type(v) = 'ARRAY'
+  SELECT submission_key, article_id, unnest(range(json_array_length(v)::BIGINT)) AS pos, v, NULL::VARCHAR AS pk FROM a WHERE json_type(v) = 'ARRAY'
   UNION ALL
   SELECT submission_key, article_id, try_cast(pk AS BIGINT), v, pk FROM
     (SELECT submission_key, article_id, v, unnest(json_keys(v)) AS pk FROM a WHERE json_type(v) = 'OBJECT'
        AND len(list_filter(json_keys(v), lambda x: NOT regexp_full_match(x, '[0-9]+'))) = 0)
   UNION ALL
-  SELECT submission_key, article_id, 0, v, NULL FROM a WHERE json_type(v) = 'OBJECT'
+  SELECT submission_key, article_id, 0, v, NULL::VARCHAR FROM a WHERE json_type(v) = 'OBJECT'
        AND len(list_filter(json_keys(v), lambda x: NOT regexp_full_match(x, '[0-9]+'))) > 0
 )
 SELECT DISTINCT submission_key, article_id, pos::INT AS pos FROM e

@@ -162,6 +162,55 @@ classes AS (SELECT article_id, norm, min(ord) AS ord, any_value(content) AS cont
 pairs AS (SELECT x.article_id, x.ord AS a, y.ord AS b FROM classes x JOIN classes y ON x.article_id = y.article_id AND x.ord < y.ord
   WHERE (contains(x.norm, y.norm) OR contains(y.norm, x.norm)) AND len(list_intersect(x.content, y.content)) >= 2)"""
 
+def _around(tokens, shared):
+    places = f"list_filter(range(1, len({tokens}) + 1), lambda i: list_contains({shared}, ({tokens})[i]))"
+    return f"array_to_string(list_slice({tokens}, greatest(1, list_min({places}) - 2), least(len({tokens}), list_max({places}) + 2)), ' ')"
+
+
+def _narrowed(t, m):
+    """The text t narrowed to what it shares with m, in SQL."""
+    x, y = _words(t), _words(m)
+    shared = f"list_filter({x}, lambda w: list_contains({y}, w))"
+    a, b = _around(x, shared), _around(y, shared)
+    return f"CASE WHEN len({shared}) = 0 THEN {t} WHEN length({a}) <= length({b}) THEN {a} ELSE {b} END"
+
+
+def _objects() -> str:
+    """CTEs up to e: every annotation object with its submission, article and place."""
+    from glossweave.plans.nested import ORACLE as nested_sql
+
+    return nested_sql["p6_found"].rpartition("SELECT DISTINCT")[0].removeprefix("WITH ")
+
+
+_SPANS = f"""{_objects()}, spans AS (
+  SELECT article_id, ('0x' || md5(submission_key)[:12])::BIGINT * 4096 + least(pos, 4095) AS ord, submission_key AS worker, o->>'$.text' AS text, o->>'$.category' AS category, o->>'$.subcategory' AS subcategory
+  FROM (SELECT submission_key, article_id, pos, CASE WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[' || pos || ']') WHEN pk IS NOT NULL THEN json_extract(v, '$."' || pk || '"') ELSE v END AS o FROM e WHERE article_id IS NOT NULL)
+  WHERE json_type(o) = 'OBJECT' AND o->>'$.text' IS NOT NULL AND o->>'$.text' <> '{consensus.SENTINEL}'
+), own AS (SELECT *, {_norm('text')} AS norm, {_content('text')} AS content FROM spans),
+classes AS (SELECT article_id, norm, min(ord) AS ord, any_value(content) AS content FROM own GROUP BY 1, 2),
+pairs AS (SELECT x.article_id, x.ord AS a, y.ord AS b FROM classes x JOIN classes y ON x.article_id = y.article_id AND x.ord < y.ord
+  WHERE (contains(x.norm, y.norm) OR contains(y.norm, x.norm)) AND len(list_intersect(x.content, y.content)) >= 2)"""
+
+_LEADERS = """o AS (SELECT article_id, ord, row_number() OVER (PARTITION BY article_id ORDER BY ord) AS n FROM classes),
+near AS (SELECT p.article_id, p.b AS ord, list(p.a) AS before FROM pairs p GROUP BY 1, 2),
+walk AS (SELECT article_id, 0::BIGINT AS n, []::BIGINT[] AS leaders FROM o GROUP BY 1
+  UNION ALL SELECT w.article_id, w.n + 1, CASE WHEN coalesce(list_has_any(w.leaders, near.before), false) THEN w.leaders ELSE list_append(w.leaders, o.ord) END
+  FROM walk w JOIN o ON o.article_id = w.article_id AND o.n = w.n + 1 LEFT JOIN near ON near.article_id = o.article_id AND near.ord = o.ord),
+ended AS (SELECT article_id, arg_max(leaders, n) AS leaders FROM walk GROUP BY 1),
+led AS (SELECT o.article_id, o.ord, CASE WHEN list_contains(e.leaders, o.ord) THEN o.ord ELSE list_min(list_intersect(e.leaders, near.before)) END AS leader
+  FROM o JOIN ended e USING (article_id) LEFT JOIN near ON near.article_id = o.article_id AND near.ord = o.ord)"""
+
+_GOLD = f"""WITH RECURSIVE {_SPANS}, {_LEADERS},
+of_text AS (SELECT c.article_id, c.norm, c.ord, l.leader FROM classes c JOIN led l USING (article_id, ord)),
+marked AS (SELECT w.article_id, w.ord, w.worker, w.text, w.category, w.subcategory, CASE WHEN len(w.content) < 2 THEN w.ord ELSE t.leader END AS leader FROM own w JOIN of_text t USING (article_id, norm)),
+folded AS (SELECT article_id, leader, list_reduce(list(norm ORDER BY ord), lambda t, m: {_narrowed('t', 'm')}) AS folded FROM of_text GROUP BY 1, 2),
+base AS (SELECT article_id, leader, count(*) AS num_supporters, count(DISTINCT worker) AS distinct_workers, arg_min(text, ord) AS raw FROM marked GROUP BY 1, 2),
+c AS (SELECT article_id, leader, first(category ORDER BY n DESC, f) AS category, count(*) = 1 AS one FROM (SELECT article_id, leader, category, count(*) AS n, min(ord) AS f FROM marked GROUP BY 1, 2, 3) GROUP BY 1, 2),
+s AS (SELECT article_id, leader, first(subcategory ORDER BY n DESC, f) AS subcategory, count(*) = 1 AS one FROM (SELECT article_id, leader, subcategory, count(*) AS n, min(ord) AS f FROM marked GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT article_id, CASE WHEN num_supporters = 1 THEN raw ELSE coalesce(folded, raw) END AS text, category, subcategory,
+  CASE WHEN num_supporters = 3 THEN 1.0 WHEN num_supporters = 2 AND c.one AND s.one THEN 0.67 WHEN num_supporters = 2 THEN 0.5 ELSE 0.33 END::DOUBLE AS confidence, num_supporters, distinct_workers, c.one AND s.one AS label_consistent
+FROM base LEFT JOIN folded USING (article_id, leader) JOIN c USING (article_id, leader) JOIN s USING (article_id, leader)"""
+
 _RATIOS = """correct, total_llm, total_gold,
   CASE WHEN total_llm = 0 THEN 0.0 ELSE correct / total_llm::DOUBLE END AS precision, CASE WHEN total_gold = 0 THEN 0.0 ELSE correct / total_gold::DOUBLE END AS recall,
   CASE WHEN correct = 0 THEN 0.0 ELSE 2 * (correct / total_llm::DOUBLE) * (correct / total_gold::DOUBLE) / (correct / total_llm::DOUBLE + correct / total_gold::DOUBLE) END AS f1,
@@ -211,14 +260,8 @@ SELECT coalesce(u.idx, r.idx) AS idx, coalesce(uses, 0) AS uses FROM u FULL JOIN
 cc AS (SELECT gold_id, first(category ORDER BY n DESC, f) AS category, count(*) AS k FROM c GROUP BY 1), ss AS (SELECT gold_id, first(subcategory ORDER BY n DESC, f) AS subcategory, count(*) AS k FROM s GROUP BY 1)
 SELECT gold_id, category, subcategory, cc.k = 1 AND ss.k = 1 AS label_consistent FROM cc JOIN ss USING (gold_id)""",
     "span_pairs": f"WITH {_TEXTS} SELECT article_id, a, b FROM pairs",
-    "clusters": f"""WITH RECURSIVE {_TEXTS}, o AS (SELECT article_id, ord, row_number() OVER (PARTITION BY article_id ORDER BY ord) AS n FROM classes),
-near AS (SELECT p.article_id, p.b AS ord, list(p.a) AS before FROM pairs p GROUP BY 1, 2),
-walk AS (SELECT article_id, 0::BIGINT AS n, []::BIGINT[] AS leaders FROM o GROUP BY 1
-  UNION ALL SELECT w.article_id, w.n + 1, CASE WHEN coalesce(list_has_any(w.leaders, near.before), false) THEN w.leaders ELSE list_append(w.leaders, o.ord) END
-  FROM walk w JOIN o ON o.article_id = w.article_id AND o.n = w.n + 1 LEFT JOIN near ON near.article_id = o.article_id AND near.ord = o.ord),
-ended AS (SELECT article_id, arg_max(leaders, n) AS leaders FROM walk GROUP BY 1)
-SELECT o.article_id, o.ord, CASE WHEN list_contains(e.leaders, o.ord) THEN o.ord ELSE list_min(list_intersect(e.leaders, near.before)) END AS leader
-FROM o JOIN ended e USING (article_id) LEFT JOIN near ON near.article_id = o.article_id AND near.ord = o.ord""",
+    "clusters": f"WITH RECURSIVE {_TEXTS}, {_LEADERS} SELECT article_id, ord, leader FROM led",
+    "gold_consensus": _GOLD,
     "greedy_eval": f"WITH {_greedy(True)} SELECT title, {_RATIOS} FROM c",
     "text_overlap_eval": f"WITH {_greedy(False)} SELECT title, {_RATIOS} FROM c",
     "overall_eval": f"WITH {_greedy(True)}, o AS (SELECT sum(correct)::BIGINT AS correct, sum(total_llm)::BIGINT AS total_llm, sum(total_gold)::BIGINT AS total_gold FROM c) SELECT {_RATIOS} FROM o",
