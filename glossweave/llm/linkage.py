@@ -9,14 +9,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossweave.session import cut
 
-#: Share of a quote's pairs of neighbouring words, the rarest ones that the other side has, by which partners are
-#: sought, and their least number.
-KEYS, LEAST_KEYS = 0.28, 4
 #: Bits of a word that the other side lacks (a name, or a slip), and from which a word counts as a name.
 UNSEEN, NAME = 8.5, 8.5
 #: Least share of letters in common, in order, of a word and the same word with slips.
@@ -25,6 +22,10 @@ SLIPS = 0.65
 OTHER = 0.35
 #: Bits of such a word in the first, wider test; least shares of the poorer quote's words and information in that test.
 LACKING, NEAR = 1.5, (0.5, 0.55)
+#: Words that candidates share at least.
+COMMON = 3
+#: Records of a word from which its rows are spread over several tasks.
+SPREAD = 16_384
 #: Confidence from which a pair counts as a match.
 CONFIDENT = 0.5
 #: Weights of the rules, see `ground`.
@@ -39,10 +40,6 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(t, r"[^a-z0-9а-џ ]", ""), " +"), lambda w: w != "")
 
 
-def _neighbours(words: Column) -> Column:
-    return F.array_distinct(F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b))).otherwise(F.transform(words, lambda a: F.xxhash64(a))))
-
-
 def _classes(df: DataFrame, id_col: str, extra: list[str]) -> DataFrame:
     """Records of equal words as one class: its smallest id, its words, and the class of each id."""
     words = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), *extra, word_list(F.col("text")).alias("text_words"), word_list(F.col("title")).alias("title_words"))
@@ -50,27 +47,65 @@ def _classes(df: DataFrame, id_col: str, extra: list[str]) -> DataFrame:
 
 
 def _packed(records: DataFrame, freq: DataFrame, total: Column) -> DataFrame:
-    """(id, packed): a quote's distinct words, each as 48 bits of its hash and 16 of its information (in 1/100 bit).
+    """(id, packed, known): a quote's distinct words, each as 48 bits of its hash and 16 of its information (in 1/100 bit).
 
     Both sides use the same counts, so equal words are equal numbers. Words that the other side lacks
-    count LACKING here, which is less than they do in quote_similarity.
+    count LACKING here, which is less than they do in quote_similarity; they are not among the known ones.
     """
     rows = records.select("id", F.explode(F.array_distinct("text_words")).alias("word")).withColumn("w", F.xxhash64("word")).join(freq, "w", "left")
     bits = F.round(F.coalesce(F.log2(total / F.col("n")), F.lit(LACKING)) * 100).cast("bigint")
-    return rows.groupBy("id").agg(F.collect_set(F.shiftleft(F.col("w"), 16).bitwiseOR(F.least(bits, F.lit(65535)))).alias("packed"))
+    word = F.shiftleft(F.col("w"), 16).bitwiseOR(F.least(bits, F.lit(65535)))
+    return rows.groupBy("id").agg(F.collect_set(word).alias("packed"), F.collect_set(F.when(F.col("n").isNotNull(), word)).alias("known"))
+
+
+def _marks(packed: Column) -> list[Column]:
+    """A quote's words as marks in 4 x 64 places: a word without a mark on the other side is not one of its words."""
+    hashed = F.transform(packed, lambda x: F.shiftright(x, 16).cast("bigint"))
+
+    def marked(k):
+        def add(s, x):
+            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))
+            return F.when(F.shiftright(x, 6).bitwiseAND(F.lit(3)) == k, s.bitwiseOR(bit)).otherwise(s)
+
+        return F.aggregate(hashed, F.lit(0).cast("bigint"), add).alias(f"m{k}")
+
+    return [marked(k) for k in range(4)]
+
 
+def _keys(packed: DataFrame) -> DataFrame:
+    """(word, id, packed, size, bits, m0..m3, left): a record under each word by which it can be met, with the bits from this word on.
 
-def _keys(records: DataFrame, other: DataFrame, packed: DataFrame, side: str) -> DataFrame:
-    """(gram, side, side_packed): each record under its rarest pairs of neighbouring words that the other side has, too."""
-    def grams(r):
-        return r.select("id", F.explode(_neighbours(F.col("text_words"))).alias("gram"))
+    Words are in the same order on both sides, rarest first. The first word that two candidates share has
+    all that they share from its place on; so COMMON words at least, and in `left` the bits of these and all later words.
+    """
+    rows = packed.select("id", "packed", F.size("packed").alias("size"), _bits(F.col("packed")).alias("bits"), *_marks(F.col("packed")), F.explode("known").alias("word"))
+    own = F.col("word").bitwiseAND(F.lit(65535))
+    later = Window.partitionBy("id").orderBy(own, "word").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("left", F.sum(own).over(later)).withColumn("place", F.count("*").over(later)).where(F.col("place") >= COMMON).drop("place")
+
+
+def _met(poor: DataFrame, rich: DataFrame, sides: tuple[str, str], total: Column, ties: bool, spread: int = SPREAD) -> DataFrame:
+    """(g, l, share) of all pairs that pass the test, `poor` the record with less information; a pair may come twice.
+
+    A poorer record is sought under its rarest words only, as long as those from there on hold NEAR of its
+    information; the richer one under all of its words. Rows of a word with more than `spread` records
+    go to several tasks. Marks and sizes exclude most pairs before their words are compared, all in the join's own stage.
+    """
+    need = F.lit(NEAR[1] * (1 - 1e-9)) * F.greatest(F.lit(1), F.col("x.bits"))
+    parts = F.ceil(total * F.pow(F.lit(2.0), -F.col("word").bitwiseAND(F.lit(65535)) / 100) / spread).cast("int")
+    x = poor.where(F.col("left") >= F.lit(NEAR[1] * (1 - 1e-9)) * F.greatest(F.lit(1), F.col("bits"))).withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    y = rich.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), parts) - 1)))
+
+    def at_most(a, b):  # words of a that b may have
+        lacks = [F.bit_count(F.col(f"{a}.m{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}.m{k}")))) for k in range(4)]
+        return F.col(f"{a}.size") - sum(lacks[1:], lacks[0])
 
-    own, theirs = grams(records), grams(other)
-    freq = own.groupBy("gram").agg(F.count("*").alias("a")).join(theirs.groupBy("gram").agg(F.count("*").alias("b")), "gram").select("gram", (F.col("a").cast("double") * F.col("b")).alias("weight"))
-    found = own.join(freq, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("weight", "gram"))).alias("keys"))
-    number = F.greatest(F.lit(LEAST_KEYS), F.ceil(F.size("keys") * KEYS)).cast("int")
-    rare = found.select("id", F.slice("keys", F.lit(1), number).alias("keys")).join(packed, "id")
-    return rare.select(F.col("id").alias(side), F.col("packed").alias(f"{side}_packed"), F.explode("keys").alias("k")).select(F.col("k.gram").alias("gram"), side, f"{side}_packed")
+    least = F.greatest(F.lit(COMMON), F.least(F.col("x.size"), F.col("y.size")) * NEAR[0])
+    poorer = F.col("x.bits") <= F.col("y.bits") if ties else F.col("x.bits") < F.col("y.bits")
+    both = x.alias("x").join(y.alias("y"), ["word", "part"]).where(poorer & (F.col("y.left") >= need) & (at_most("x", "y") >= least) & (at_most("y", "x") >= least))
+    common, size = F.array_intersect("x.packed", "y.packed"), F.least(F.col("x.size"), F.col("y.size"))
+    near = both.where(F.size(common) >= least).where(_bits(common) / F.greatest(F.lit(1), F.col("x.bits")) >= NEAR[1])
+    return near.select(F.col("x.id").alias(sides[0]), F.col("y.id").alias(sides[1]), (F.size(common) / size).alias("share")).select("g", "l", "share")
 
 
 def _information(a: DataFrame, b: DataFrame, words: str) -> DataFrame:
@@ -188,6 +223,13 @@ def title_similarity(a: list[tuple[str, float]], b: list[tuple[str, float]]) ->
     return sum(bits for w, bits in x.items() if w in y) / max(0.1, min(sum(x.values()), sum(y.values())))
 
 
+def near_pairs(gold: DataFrame, model: DataFrame, words: DataFrame, total: Column, spread: int = SPREAD) -> DataFrame:
+    """(g, l, share): all pairs that share COMMON words, and NEAR of the shorter's words and the poorer's information."""
+    g, l = (cut(_packed(r, words, total)) for r in (gold, model))  # noqa: E741
+    g_keys, l_keys = _keys(g), _keys(l)
+    return cut(_met(g_keys, l_keys, ("g", "l"), total, True, spread).unionByName(_met(l_keys, g_keys, ("l", "g"), total, False, spread)).distinct())
+
+
 def _refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         b["text_sim"] = [min(1.0, quote_similarity(_words_of(x), _words_of(y))) for x, y in zip(b["g_text"], b["l_text"], strict=True)]
@@ -196,20 +238,13 @@ def _refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def candidate_pairs(gold: DataFrame, model: DataFrame) -> DataFrame:
-    """(g, l, article_id, text_sim, share, title_sim) of classes that share rare neighbouring words.
+    """(g, l, article_id, text_sim, share, title_sim) of all classes that share COMMON words and NEAR of words and information.
 
-    A pair is sought by the rarest neighbours of its quotes, KEYS of those that both sides have; it stays
-    a candidate if its quotes share three words and NEAR of their words and information. That is tested
-    in the join's own stage, so only candidates are shuffled further. Similarity is information in common
-    over the information of the poorer side.
+    Only pairs that pass are shuffled further, see `_met`. Similarity is information in common over the information of the poorer side.
     """
     total = F.lit(float(max(1, gold.count() + model.count())))
     words = _information(gold, model, "text_words")
-    sides = [_keys(r, o, _packed(r, words, total), side) for r, o, side in ((gold, model, "g"), (model, gold, "l"))]
-    both = sides[0].join(sides[1], "gram").withColumn("common", F.array_intersect("g_packed", "l_packed"))
-    share = F.size("common") / F.least(F.size("g_packed"), F.size("l_packed"))
-    rough = _bits(F.col("common")) / F.greatest(F.lit(1), F.least(_bits(F.col("g_packed")), _bits(F.col("l_packed"))))
-    near = cut(both.where((F.size("common") >= 3) & (share >= NEAR[0]) & (rough >= NEAR[1])).select("g", "l", share.alias("share")).groupBy("g", "l").agg(F.max("share").alias("share")))
+    near = near_pairs(gold, model, words, total)
     titles = _information(gold, model, "title_words")
     for r, side in ((gold, "g"), (model, "l")):
         spelled = _spelled(r, words, "text_words", total, f"{side}_text").join(_spelled(r, titles, "title_words", total, f"{side}_title"), "id", "left")

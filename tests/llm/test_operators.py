@@ -141,6 +141,37 @@ def test_linkage(spark):
     assert linkage.link_quotes(g.limit(0), m).isEmpty()
 
 
+@pytest.mark.parametrize("spread", [linkage.SPREAD, 5])
+def test_partners_against_brute_force(spark, spread):
+    """All pairs with the shares of `NEAR`, however common their words are, and none besides."""
+    random.seed(8)
+    vocabulary = [f"w{int(random.paretovariate(0.7))}" for _ in range(400)]
+    texts = [[random.choice(vocabulary) for _ in range(random.choice([2, 3, 4, 6, 9, 14, 30]))] for _ in range(160)]
+    texts += [random.sample(t[:12], min(len(t), 12) // 2 + 1) + random.sample(vocabulary, 2) for t in texts]  # short or retyped, other neighbours
+    sides = [spark.createDataFrame(list(enumerate(texts[k::2])), "id bigint, text_words array<string>") for k in range(2)]
+    total = F.lit(float(len(texts)))
+    words = linkage._information(*sides, "text_words")
+    got = {(r.g, r.l): r.share for r in linkage.near_pairs(*sides, words, total, spread).collect()}
+    packed = [{r.id: set(r.packed) for r in linkage._packed(r, words, total).collect()} for r in sides]
+    bits = lambda ws: sum(w & 65535 for w in ws)
+    expected = {}
+    for (g, a), (m, b) in itertools.product(packed[0].items(), packed[1].items()):
+        share = len(a & b) / min(len(a), len(b))
+        if len(a & b) >= 3 and share >= linkage.NEAR[0] and bits(a & b) / max(1, min(bits(a), bits(b))) >= linkage.NEAR[1]:
+            expected[g, m] = share
+    assert got == expected
+    assert len(expected) > 200
+
+
+def test_partner_without_rare_neighbours(spark):
+    """A short, retyped quote within a long one, whose own rare words are all elsewhere."""
+    rare = " ".join(f"rare{i} seldom{i}" for i in range(30))
+    gold = [(1, 1, None, f"{rare} mayor never asked why ferry crews came late", "x"), *[(10 + i, 9, None, f"rare{i} seldom{i} note{i} paper{i} town{i}", "x") for i in range(30)]]
+    model = [(1, None, "crews came mayor asked late ferry", "x"), *[(10 + i, None, f"rare{i} seldom{i} road{i} house{i} hill{i}", "x") for i in range(30)]]
+    sides = [spark.createDataFrame([(r[0], 1, r[-2].split(), []) for r in rows], "id bigint, article_id bigint, text_words array<string>, title_words array<string>") for rows in (gold, model)]
+    assert (1, 1) in {(r.g, r.l) for r in linkage.candidate_pairs(*sides).collect()}
+
+
 def test_admm_finds_the_optimum():
     """Against exhaustive search over a grid, for one quote with two articles."""
     text, title = np.array([0.9, 0.6]), np.array([0.8, np.nan])
