@@ -51,6 +51,7 @@ class Automaton:
         for s in range(1, len(self.link)):
             self.children[self.link[s]].append(s)
         self.own = ends
+        self.after = [[*t.tolist()[1:], -2] for t in texts]
         self._places: dict[int, np.ndarray] = {}
 
     def _extend(self, last: int, c: int, ends: list) -> int:
@@ -116,6 +117,33 @@ class Automaton:
             yield len(stream) - 1, size, state
 
 
+    def matches(self, stream: list[int], least: int) -> Iterator[tuple[int, int, int, int]]:
+        """(passage, its end, end, size) of each stretch of at least `least` words, passage by passage, that no word prolongs.
+
+        Suffix links lead from what all passages together have to what further passages have of it.
+        """
+        state = size = 0
+        for q, c in enumerate(stream):
+            nxt = self.next[state].get(c)
+            while nxt is None and state:
+                state = self.link[state]
+                size = self.length[state]
+                nxt = self.next[state].get(c)
+            if nxt is not None:
+                state, size = nxt, size + 1
+            s, n, seen, following = state, size, set(), stream[q + 1] if q + 1 < len(stream) else -3
+            while n >= least:
+                at = self.places(s)
+                if len(at) > len(seen):
+                    for k, p in at.tolist():
+                        if (k, p) not in seen:
+                            seen.add((k, p))
+                            if self.after[k][p] != following:
+                                yield k, p, q, n
+                s = self.link[s]
+                n = self.length[s]
+
+
 def _grams(h: np.ndarray) -> np.ndarray:
     g = np.zeros(max(0, len(h) - STRETCH + 1), np.uint64)
     for i in range(STRETCH):
@@ -148,12 +176,10 @@ class Passages:
         for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True):
             numbers = np.minimum(np.searchsorted(self.vocabulary, h[a:b]), len(self.vocabulary) - 1)
             stream = np.where(self.vocabulary[numbers] == h[a:b], numbers, -1).tolist()
-            for end, size, state in self.automaton.stretches(stream, STRETCH):
-                at = self.automaton.places(state)
-                found.append(np.column_stack([at[:, 0], at[:, 1] - size + 1, np.full(len(at), a + end - size + 1), np.full(len(at), size)]))
+            found += [(k, p - size + 1, a + end - size + 1, size) for k, p, end, size in self.automaton.matches(stream, STRETCH)]
         if not found:
             return []
-        m = np.concatenate(found)
+        m = np.array(found, np.int64)
         return self._chains(m[np.lexsort((m[:, 1], m[:, 2], m[:, 0]))])
 
     def _chains(self, m: np.ndarray) -> list[tuple[int, int, int]]:

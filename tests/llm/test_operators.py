@@ -321,6 +321,26 @@ def test_automaton_against_brute_force():
                 assert any(e - s + 1 <= j and j + n - 1 <= e for e, s in longest.items()), (k, j, n)
 
 
+def test_stretches_of_each_item_against_brute_force():
+    random.seed(9)
+    for _ in range(60):
+        texts = [np.array([random.randrange(3) for _ in range(random.randrange(1, 14))]) for _ in range(3)]
+        texts.append(texts[0][2:9])
+        stream = [random.randrange(-1, 3) for _ in range(20)] + texts[0].tolist()
+        got = list(leaks.Automaton(texts).matches(stream, 2))
+        expected = {(k, i, j, n) for k, text in enumerate(texts) for i, j, n in brute(text.tolist(), stream, 2)}
+        assert len(got) == len(set(got))
+        assert {(k, p - n + 1, q - n + 1, n) for k, p, q, n in got} == expected
+
+
+def test_leak_of_an_item_within_another():
+    a = " ".join(f"w{i}" for i in range(60))
+    b = " ".join([f"w{i}" for i in range(40)] + [f"other{i}" for i in range(20)])
+    c = " ".join(f"w{i}" for i in range(10, 30))
+    h = leaks.words(pa.array([a], pa.large_string()))[0]
+    assert sorted(leaks.Passages([1, 2, 3], [a, b, c]).pieces_of(h)) == [(0, 0, 60), (1, 0, 40), (2, 10, 30)]
+
+
 def test_leaks(spark):
     words = [f"w{i}" for i in range(40)]
     items = spark.createDataFrame([(1, "passage", " ".join(words)), (2, "prompt", "Read this.\n\n" + " ".join(f"p{i}" for i in range(30)) + "\n\nA) x"), (3, "passage", None), (4, "passage", "")], "item_id bigint, item_kind string, text string")
