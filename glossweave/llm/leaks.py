@@ -192,18 +192,17 @@ class Passages:
             if m[a:b, 3].sum() < min(n, max(LEAST, n * VERBATIM)):
                 continue
             chains: list[list[int]] = []  # passage start, end, text start, end, verbatim words
+            live: list[list[int]] = []  # stretches come in order of the text, so one that ended too far back is over
             for _, p, q, size in m[a:b].tolist():
                 best = None
-                for c in reversed(chains):
-                    if q - c[3] > GAP:
-                        if q - c[3] > GAP + 64:
-                            break
-                        continue
+                live = [c for c in live if q - c[3] <= GAP]
+                for c in reversed(live):
                     over = max(c[1] - p, c[3] - q, 0)
                     if p - c[1] <= GAP and over < size and abs((p - c[1]) - (q - c[3])) <= GAP // 2 and p + size > c[1] and (best is None or c[4] > best[4]):
                         best = c
                 if best is None:
                     chains.append([p, p + size, q, q + size, size])
+                    live.append(chains[-1])
                 else:
                     gained = size - max(best[1] - p, best[3] - q, 0)
                     best[1], best[3], best[4] = p + size, q + size, best[4] + gained

@@ -341,6 +341,12 @@ def test_leak_of_an_item_within_another():
     assert sorted(leaks.Passages([1, 2, 3], [a, b, c]).pieces_of(h)) == [(0, 0, 60), (1, 0, 40), (2, 10, 30)]
 
 
+def test_side_chain_does_not_cut_a_piece():
+    block = leaks.Passages([1], [" ".join(f"w{i}" for i in range(300))])
+    m = sorted([(0, p, p, 20) for p in range(0, 200, 22)] + [(0, 250, 10, 5)], key=lambda r: (r[2], r[1]))
+    assert block._chains(np.array(m)) == [(0, 0, 218)]
+
+
 def test_leaks(spark):
     words = [f"w{i}" for i in range(40)]
     items = spark.createDataFrame([(1, "passage", " ".join(words)), (2, "prompt", "Read this.\n\n" + " ".join(f"p{i}" for i in range(30)) + "\n\nA) x"), (3, "passage", None), (4, "passage", "")], "item_id bigint, item_kind string, text string")
