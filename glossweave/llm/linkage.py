@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import namedtuple
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -20,24 +21,35 @@ UNSEEN, NAME = 8.5, 8.5
 SLIPS = 0.65
 #: What another name or figure leaves of a similarity.
 OTHER = 0.35
-#: Bits of such a word in the first, wider test; least shares of the poorer quote's words and information in that test.
-LACKING, NEAR = 1.5, (0.5, 0.55)
-#: Words that candidates share at least.
-COMMON = 3
+#: What candidates share at least: words, a share of the poorer record's words (by number), a share of its information; and the
+#: bits of a word that the other side lacks, in this first test of quotes and of titles.
+Near = namedtuple("Near", "common words bits lacking")
+QUOTES, TITLES = Near(3, 0.5, 0.55, 1.5), Near(1, 0.0, 0.5, 8.5)
+NEAR = (QUOTES.words, QUOTES.bits)
 #: Records of a word from which its rows are spread over several tasks.
 SPREAD = 16_384
 #: Confidence from which a pair counts as a match.
 CONFIDENT = 0.5
 #: Weights of the rules, see `ground`.
 RULES = {"text": 4.0, "title": 2.0, "no_text": 4.0, "no_title": 5.0, "prior": 0.6, "article": 2.0, "transitive": 3.0}
-#: Rounds of alternating directions, and their step.
-ROUNDS, STEP = 60, 1.0
+#: Most rounds of alternating directions, their step, and the largest change and disagreement of a value at which they end.
+ROUNDS, STEP, TOLERANCE = 5_000, 20.0, 1e-3
+#: Blocks of quotes that meet all others by text alone: model quotes without a title, and quotes of articles without one.
+NO_TITLE, NO_ARTICLE_TITLE = -1, -2
 
 
 def word_list(text: Column) -> Column:
-    """Words in lower case without punctuation, hyphens and letters that encodings garble; an underscore is a space."""
+    """Words in lower case without punctuation, hyphens and letters that encodings garble; an underscore is a space.
+
+    Letters of other scripts than Latin and Cyrillic are kept in words of their own, but not beside Latin
+    letters, where garbled accents show as such; signs of scripts that write no spaces are words by themselves.
+    """
     t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[_\s\p{Z}–—]+", " ")
-    return F.filter(F.split(F.regexp_replace(t, r"[^a-z0-9а-џ ]", ""), " +"), lambda w: w != "")
+    t = F.regexp_replace(t, r"[^\p{L}\p{M}\p{N} ]|[\p{IsLatin}&&[^a-z]]", "")
+    other = r"[\p{L}\p{M}\p{N}&&[^a-z0-9а-џ]]+"
+    t = F.regexp_replace(t, f"(?<=[a-z0-9]){other}|{other}(?=[a-z0-9])", "")
+    t = F.regexp_replace(t, r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])", " $1 ")
+    return F.filter(F.split(t, " +"), lambda w: w != "")
 
 
 def _classes(df: DataFrame, id_col: str, extra: list[str]) -> DataFrame:
@@ -46,14 +58,14 @@ def _classes(df: DataFrame, id_col: str, extra: list[str]) -> DataFrame:
     return words.withColumn("key", F.xxhash64("text_words", "title_words", *extra)).withColumn("key2", F.hash("title_words", "text_words", *extra))
 
 
-def _packed(records: DataFrame, freq: DataFrame, total: Column) -> DataFrame:
-    """(id, packed, known): a quote's distinct words, each as 48 bits of its hash and 16 of its information (in 1/100 bit).
+def _packed(records: DataFrame, freq: DataFrame, total: Column, words: str = "text_words", lacking: float = QUOTES.lacking) -> DataFrame:
+    """(id, packed, known): a record's distinct words, each as 48 bits of its hash and 16 of its information (in 1/100 bit).
 
     Both sides use the same counts, so equal words are equal numbers. Words that the other side lacks
-    count LACKING here, which is less than they do in quote_similarity; they are not among the known ones.
+    count `lacking` here, for quotes less than they do in quote_similarity; they are not among the known ones.
     """
-    rows = records.select("id", F.explode(F.array_distinct("text_words")).alias("word")).withColumn("w", F.xxhash64("word")).join(freq, "w", "left")
-    bits = F.round(F.coalesce(F.log2(total / F.col("n")), F.lit(LACKING)) * 100).cast("bigint")
+    rows = records.select("id", F.explode(F.array_distinct(words)).alias("word")).withColumn("w", F.xxhash64("word")).join(freq, "w", "left")
+    bits = F.round(F.coalesce(F.log2(total / F.col("n")), F.lit(lacking)) * 100).cast("bigint")
     word = F.shiftleft(F.col("w"), 16).bitwiseOR(F.least(bits, F.lit(65535)))
     return rows.groupBy("id").agg(F.collect_set(word).alias("packed"), F.collect_set(F.when(F.col("n").isNotNull(), word)).alias("known"))
 
@@ -72,40 +84,39 @@ def _marks(packed: Column) -> list[Column]:
     return [marked(k) for k in range(4)]
 
 
-def _keys(packed: DataFrame) -> DataFrame:
-    """(word, id, packed, size, bits, m0..m3, left): a record under each word by which it can be met, with the bits from this word on.
+def _keys(packed: DataFrame, blocks: DataFrame, near: Near) -> DataFrame:
+    """(block, word, id, size, bits, m0..m3, left): a record under each word by which it can be met, with the bits from this word on.
 
     Words are in the same order on both sides, rarest first. The first word that two candidates share has
-    all that they share from its place on; so COMMON words at least, and in `left` the bits of these and all later words.
+    all that they share from its place on; so near.common words at least, and in `left` the bits of these and all later words.
     """
-    rows = packed.select("id", "packed", F.size("packed").alias("size"), _bits(F.col("packed")).alias("bits"), *_marks(F.col("packed")), F.explode("known").alias("word"))
+    rows = packed.select("id", F.size("packed").alias("size"), _bits(F.col("packed")).alias("bits"), *_marks(F.col("packed")), F.explode("known").alias("word"))
     own = F.col("word").bitwiseAND(F.lit(65535))
     later = Window.partitionBy("id").orderBy(own, "word").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("left", F.sum(own).over(later)).withColumn("place", F.count("*").over(later)).where(F.col("place") >= COMMON).drop("place")
+    kept = rows.withColumn("left", F.sum(own).over(later)).withColumn("place", F.count("*").over(later)).where(F.col("place") >= near.common).drop("place")
+    return kept.join(blocks.select("id", "block"), "id")
 
 
-def _met(poor: DataFrame, rich: DataFrame, sides: tuple[str, str], total: Column, ties: bool, spread: int = SPREAD) -> DataFrame:
-    """(g, l, share) of all pairs that pass the test, `poor` the record with less information; a pair may come twice.
+def _met(poor: DataFrame, rich: DataFrame, sides: tuple[str, str], total: Column, ties: bool, near: Near, spread: int) -> DataFrame:
+    """(g, l) of all pairs that may pass the test, `poor` the record with less information; a pair may come twice.
 
-    A poorer record is sought under its rarest words only, as long as those from there on hold NEAR of its
+    A poorer record is sought under its rarest words only, as long as those from there on hold near.bits of its
     information; the richer one under all of its words. Rows of a word with more than `spread` records
-    go to several tasks. Marks and sizes exclude most pairs before their words are compared, all in the join's own stage.
+    go to several tasks. Marks and sizes exclude most pairs in the join's own stage.
     """
-    need = F.lit(NEAR[1] * (1 - 1e-9)) * F.greatest(F.lit(1), F.col("x.bits"))
+    need = F.lit(near.bits * (1 - 1e-9)) * F.greatest(F.lit(1), F.col("x.bits"))
     parts = F.ceil(total * F.pow(F.lit(2.0), -F.col("word").bitwiseAND(F.lit(65535)) / 100) / spread).cast("int")
-    x = poor.where(F.col("left") >= F.lit(NEAR[1] * (1 - 1e-9)) * F.greatest(F.lit(1), F.col("bits"))).withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    x = poor.where(F.col("left") >= F.lit(near.bits * (1 - 1e-9)) * F.greatest(F.lit(1), F.col("bits"))).withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
     y = rich.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), parts) - 1)))
 
     def at_most(a, b):  # words of a that b may have
         lacks = [F.bit_count(F.col(f"{a}.m{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}.m{k}")))) for k in range(4)]
         return F.col(f"{a}.size") - sum(lacks[1:], lacks[0])
 
-    least = F.greatest(F.lit(COMMON), F.least(F.col("x.size"), F.col("y.size")) * NEAR[0])
+    least = F.greatest(F.lit(near.common), F.least(F.col("x.size"), F.col("y.size")) * near.words)
     poorer = F.col("x.bits") <= F.col("y.bits") if ties else F.col("x.bits") < F.col("y.bits")
-    both = x.alias("x").join(y.alias("y"), ["word", "part"]).where(poorer & (F.col("y.left") >= need) & (at_most("x", "y") >= least) & (at_most("y", "x") >= least))
-    common, size = F.array_intersect("x.packed", "y.packed"), F.least(F.col("x.size"), F.col("y.size"))
-    near = both.where(F.size(common) >= least).where(_bits(common) / F.greatest(F.lit(1), F.col("x.bits")) >= NEAR[1])
-    return near.select(F.col("x.id").alias(sides[0]), F.col("y.id").alias(sides[1]), (F.size(common) / size).alias("share")).select("g", "l", "share")
+    both = x.alias("x").join(y.alias("y"), ["block", "word", "part"]).where(poorer & (F.col("y.left") >= need) & (at_most("x", "y") >= least) & (at_most("y", "x") >= least))
+    return both.select(F.col("x.id").alias(sides[0]), F.col("y.id").alias(sides[1])).select("g", "l")
 
 
 def _information(a: DataFrame, b: DataFrame, words: str) -> DataFrame:
@@ -215,42 +226,65 @@ def _words_of(spelled: str | None) -> list[tuple[str, float]]:
     return [(w, float(bits) if bits else UNSEEN) for w, _, bits in (x.partition(":") for x in (spelled or "").split())]
 
 
-def title_similarity(a: list[tuple[str, float]], b: list[tuple[str, float]]) -> float:
-    """Information in common as a share of the poorer title's; not a number if a title has no words."""
-    x, y = dict(a), dict(b)
-    if not x or not y:
-        return float("nan")
-    return sum(bits for w, bits in x.items() if w in y) / max(0.1, min(sum(x.values()), sum(y.values())))
+def near_pairs(gold: DataFrame, model: DataFrame, words: DataFrame, total: Column, spread: int = SPREAD, near: Near = QUOTES, column: str = "text_words", blocks: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(g, l, share, info): all pairs of a block that share near.common words, and near.words and near.bits of the poorer's.
 
-
-def near_pairs(gold: DataFrame, model: DataFrame, words: DataFrame, total: Column, spread: int = SPREAD) -> DataFrame:
-    """(g, l, share): all pairs that share COMMON words, and NEAR of the shorter's words and the poorer's information."""
-    g, l = (cut(_packed(r, words, total)) for r in (gold, model))  # noqa: E741
-    g_keys, l_keys = _keys(g), _keys(l)
-    return cut(_met(g_keys, l_keys, ("g", "l"), total, True, spread).unionByName(_met(l_keys, g_keys, ("l", "g"), total, False, spread)).distinct())
+    `blocks` has (id, block) of either side, any number of blocks for a record; without it all records are in one.
+    `share` is the share of the shorter one's words, `info` that of the poorer one's information.
+    """
+    packed = [cut(_packed(r, words, total, column, near.lacking)) for r in (gold, model)]
+    g_keys, l_keys = (_keys(p, b if blocks else p.select("id", F.lit(0).alias("block")), near) for p, b in zip(packed, blocks or (None, None), strict=True))
+    met = cut(_met(g_keys, l_keys, ("g", "l"), total, True, near, spread).unionByName(_met(l_keys, g_keys, ("l", "g"), total, False, near, spread)).distinct())
+    x, y = (p.select(F.col("id").alias(n), F.col("packed").alias(f"{n}_packed")) for p, n in zip(packed, ("g", "l"), strict=True))
+    common, shorter = F.array_intersect("g_packed", "l_packed"), F.least(F.size("g_packed"), F.size("l_packed"))
+    least, poorer = F.greatest(F.lit(near.common), shorter * near.words), F.greatest(F.lit(1), F.least(_bits(F.col("g_packed")), _bits(F.col("l_packed"))))
+    passed = met.join(x, "g").join(y, "l").where(F.size(common) >= least).withColumn("info", _bits(common) / poorer).where(F.col("info") >= near.bits)
+    return cut(passed.select("g", "l", (F.size(common) / shorter).alias("share"), "info"))
 
 
 def _refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         b["text_sim"] = [min(1.0, quote_similarity(_words_of(x), _words_of(y))) for x, y in zip(b["g_text"], b["l_text"], strict=True)]
-        b["title_sim"] = [title_similarity(_words_of(x), _words_of(y)) for x, y in zip(b["g_title"], b["l_title"], strict=True)]
         yield b[["g", "l", "article_id", "text_sim", "share", "title_sim"]]
 
 
+def article_candidates(gold: DataFrame, model: DataFrame, total: Column) -> DataFrame:
+    """(l, article, title_sim): the articles that a model quote's title can mean, by the most similar of an article's titles.
+
+    Every title with TITLES.bits of the poorer one's information in common is found. One below that speaks
+    against a match more than any text can speak for it, see `solve`. Equal titles are compared once.
+    """
+    own = gold.where(F.size("title_words") > 0).groupBy("article", "title_words").agg(F.min("id").alias("id"))
+    theirs = model.where(F.size("title_words") > 0).groupBy("title_words").agg(F.min("id").alias("id"))
+    pairs = near_pairs(own, theirs, _information(gold, model, "title_words"), total, near=TITLES, column="title_words")
+    best = pairs.join(own.select(F.col("id").alias("g"), "article"), "g").groupBy("l", "article").agg(F.max("info").alias("title_sim"))
+    named = theirs.join(best.withColumnRenamed("l", "id"), "id").select("title_words", "article", "title_sim")
+    return cut(model.select(F.col("id").alias("l"), "title_words").join(named, "title_words").select("l", "article", "title_sim"))
+
+
 def candidate_pairs(gold: DataFrame, model: DataFrame) -> DataFrame:
-    """(g, l, article_id, text_sim, share, title_sim) of all classes that share COMMON words and NEAR of words and information.
+    """(g, l, article_id, text_sim, share, title_sim) of all classes that pass the tests QUOTES and TITLES.
 
-    Only pairs that pass are shuffled further, see `_met`. Similarity is information in common over the information of the poorer side.
+    A model quote meets the quotes of the articles that its title can mean; without a title it meets all
+    quotes, as do all model quotes those of articles without any title. `title_sim` is null then. Similarity
+    is information in common over the information of the poorer side. A null article_id is an article of its own.
     """
     total = F.lit(float(max(1, gold.count() + model.count())))
+    gold = gold.withColumn("article", F.coalesce(F.col("article_id").cast("bigint"), -3 - F.col("id")))
+    articles = article_candidates(gold, model, total)
+    untitled = gold.groupBy("article").agg(F.max(F.size("title_words")).alias("n")).where("n <= 0").select("article")
+    g_block = gold.select("id", F.col("article").alias("block")).unionByName(gold.select("id", F.lit(NO_TITLE).cast("bigint").alias("block")))
+    g_block = g_block.unionByName(gold.join(untitled, "article", "left_semi").select("id", F.lit(NO_ARTICLE_TITLE).cast("bigint").alias("block")))
+    l_block = articles.select(F.col("l").alias("id"), F.col("article").alias("block")).unionByName(model.where(F.size("title_words") <= 0).select("id", F.lit(NO_TITLE).cast("bigint").alias("block")))
+    l_block = l_block.unionByName(model.select("id", F.lit(NO_ARTICLE_TITLE).cast("bigint").alias("block")))
     words = _information(gold, model, "text_words")
-    near = near_pairs(gold, model, words, total)
-    titles = _information(gold, model, "title_words")
+    near = near_pairs(gold, model, words, total, blocks=(g_block, l_block)).drop("info")
     for r, side in ((gold, "g"), (model, "l")):
-        spelled = _spelled(r, words, "text_words", total, f"{side}_text").join(_spelled(r, titles, "title_words", total, f"{side}_title"), "id", "left")
+        spelled = _spelled(r, words, "text_words", total, f"{side}_text")
         if side == "g":
-            spelled = spelled.join(r.select("id", F.col("article_id").cast("bigint").alias("article_id")), "id")
+            spelled = spelled.join(r.select("id", "article"), "id")
         near = near.join(spelled.withColumnRenamed("id", side), side)
+    near = near.join(articles, ["l", "article"], "left").withColumnRenamed("article", "article_id")
     return near.mapInPandas(_refine, "g bigint, l bigint, article_id bigint, text_sim double, share double, title_sim double")
 
 
@@ -260,14 +294,15 @@ def solve(owner: np.ndarray, article: np.ndarray, text: np.ndarray, title: np.nd
     Variables are match(g, l) for each candidate and about(l, a) for each article a among l's candidates.
     Rules, each a linear hinge with its weight in RULES:
       text:        text_sim -> match            no_text:  1 - text_sim -> not match
-      title:       title_sim -> match           no_title: 1 - title_sim -> not match  (both where titles are known)
+      title:       title_sim -> match           no_title: 1 - title_sim -> not match  (both where titles are known;
+                                                                                      the most similar of the article's)
       prior:       not match
       article:     match(g, l) -> about(l, article of g)                      (transitivity over the article)
       transitive:  about(l, a) and text_sim(g, l) -> match(g, l)
     and the hard rule that the articles of one l sum to 1 at most (exclusivity). The problem is convex;
     it falls apart by l, and all l of a task are solved at once. Alternating directions: every rule
     moves its own copies of the variables to the nearest optimum, then each variable becomes the mean of
-    its copies.
+    its copies; until no copy is TOLERANCE from its variable and no variable moves by more.
     """
     n = len(owner)
     if not n:
@@ -301,6 +336,7 @@ def solve(owner: np.ndarray, article: np.ndarray, text: np.ndarray, title: np.nd
     u1, ux, uy, ue = np.zeros(len(i1)), np.zeros(len(x2)), np.zeros(len(y2)), np.zeros(size - n)
     members = np.bincount(of)
     for _ in range(rounds):
+        before = z
         v = z[i1] - u1
         d = c1 + s1 * v
         l1 = v - s1 * np.clip(d, 0, w1 / STEP)
@@ -317,6 +353,9 @@ def solve(owner: np.ndarray, article: np.ndarray, text: np.ndarray, title: np.nd
         ux += lx - z[x2]
         uy += ly - z[y2]
         ue += le - z[n:]
+        apart = max(abs(a - z[i]).max(initial=0) for a, i in ((l1, i1), (lx, x2), (ly, y2), (le, np.arange(n, size))))
+        if max(apart, abs(z - before).max(initial=0)) < TOLERANCE:
+            break
     return z[:n]
 
 
