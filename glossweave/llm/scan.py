@@ -161,9 +161,9 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return hashes, np.searchsorted(starts, rows), starts, ends
 
 
-def pieces(batch: pa.RecordBatch, column: int, limit: int = 500_000) -> list[pa.RecordBatch]:
-    """The batch cut into slices of about `limit` bytes of text, or of one row where a row has more."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+def pieces(batch: pa.RecordBatch, *columns: int, limit: int = 500_000) -> list[pa.RecordBatch]:
+    """The batch cut into slices of about `limit` bytes of text in all these columns, or of one row where a row has more."""
+    lengths = sum((pa.compute.fill_null(pa.compute.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns), np.ones(batch.num_rows, np.int64))
     at = np.concatenate([[0], np.cumsum(lengths)])
     out, i = [], 0
     while i < batch.num_rows:

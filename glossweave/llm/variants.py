@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glossweave.llm.scan import folded_hashes, mix, same_but_for_writing
+from glossweave.llm.scan import folded_hashes, mix, pieces, same_but_for_writing
 from glossweave.operators.skew import join_counted
 from glossweave.session import cut
 
@@ -73,7 +73,7 @@ def _text_hash(column: pa.Array, seed: int) -> np.ndarray:
 
 def _fingerprints(text: list[str], exact: list[str], payload: list[str], mask: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in pieces(whole, *[whole.schema.get_field_index(c) for c in (*text, *payload)])):
             out = []
             for seed in (1, 2):
                 total = np.zeros(b.num_rows, np.uint64)
@@ -109,7 +109,7 @@ def writing_copies(df: DataFrame, id_col: str, text_cols: list[str] | None = Non
 
     Hashes of 2 x `hash_bits` bits find the groups; every member is then compared with its group's first
     record, so a collision costs time and never a wrong row: members that differ form their own groups in
-    further rounds. Rows of a hot group are spread over tasks of BLOCK rows. Null ids are left out; an
+    further rounds. Texts are hashed once, in slices of bounded size. Rows of a hot group are spread over tasks of BLOCK rows. Null ids are left out; an
     empty table gives no rows; repeated ids count as one record. `id_col` must be bigint or int.
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
@@ -123,7 +123,7 @@ def writing_copies(df: DataFrame, id_col: str, text_cols: list[str] | None = Non
     names = exact | text | payload
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), *[F.col(f"`{c}`").cast("string").alias(k) for k, c in names.items()])
     mask = 2**hash_bits - 1
-    left = rows.mapInArrow(_fingerprints(list(text), list(exact), list(payload), mask), "id bigint, h1 bigint, h2 bigint").withColumn("round", F.lit(0))
+    left = cut(rows.mapInArrow(_fingerprints(list(text), list(exact), list(payload), mask), "id bigint, h1 bigint, h2 bigint"))
 
     cols = list(names)
 
@@ -139,7 +139,7 @@ def writing_copies(df: DataFrame, id_col: str, text_cols: list[str] | None = Non
     found: list[DataFrame] = []
     while True:
         groups = left.groupBy("h1", "h2").agg(F.min("id").alias("keep"), F.count("*").alias("n")).where("n > 1")
-        members = join_counted(left.select("id", "h1", "h2"), groups, ["h1", "h2"]).where("id <> keep").withColumn("block", (F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK))).cast("int"))
+        members = join_counted(left, groups, ["h1", "h2"]).where("id <> keep").distinct().withColumn("block", (F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK))).cast("int"))
         first = groups.join(rows.withColumnRenamed("id", "keep"), "keep").withColumn("block", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / BLOCK) - 1).cast("int"))))
         first = first.select("keep", "block", *[F.col(c).alias(f"r_{c}") for c in cols])
         pairs = members.join(rows, "id").join(first, ["keep", "block"])
