@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossweave.session import cut
+
 # Cyrillic and Greek letters that look like Latin ones, and those letters.
 LOOKALIKES = ("аеорсухікмтвнАВЕКМНОРСТУХІјЈѕЅԁοαε", "aeopcyxikmtbhABEKMHOPCTYXIjJsSdoae")
 
+#: Latin letters with accents, by their decomposition, and the letters without.
+_ACCENTED = [c for c in map(chr, range(0xDF, 0x250)) if c.islower() and unicodedata.normalize("NFKD", c)[0].isascii() and len(c.upper()) == 1]
+LATIN = ("".join(_ACCENTED) + "łøđ", "".join(unicodedata.normalize("NFKD", c)[0] for c in _ACCENTED) + "lod")
+
 #: Edits allowed for a reference string, by its length; a transposition is two of them.
 EDITS = "CASE WHEN length({0}) <= 3 THEN 0 WHEN length({0}) <= 5 THEN 2 WHEN length({0}) <= 7 THEN 3 ELSE 4 END"
 #: Slips allowed (a transposition is one), from the edits and the letters put in, left out or exchanged.
@@ -17,7 +25,16 @@ PREFIX = 4
 
 
 def _letters(x: str) -> str:
-    return f"regexp_replace({x}, '[^a-z0-9]', '')"
+    return f"regexp_replace({x}, '[^\\\\p{{L}}\\\\p{{N}}]', '')"
+
+
+def _folded(x: str) -> str:
+    """In lower case and in Latin letters without accents, as far as they look like these."""
+    return f"translate(lower(translate({x}, '{LOOKALIKES[0]}', '{LOOKALIKES[1]}')), '{LATIN[0]}', '{LATIN[1]}')"
+
+
+def _in_order(x: str) -> str:
+    return _letters(f"array_join(array_sort(split(regexp_replace({x}, '[^\\\\p{{L}}\\\\p{{N}}]+', ' '), ' ')), '')")
 
 
 def _gone(a: str, b: str) -> str:
@@ -26,27 +43,27 @@ def _gone(a: str, b: str) -> str:
 
 
 #: Views it reads: `typed` (kind, value, n: each value once, with its number of rows) and `reference` (ref_id, kind, name).
-SQL = f"""
+MEANT = f"""
 WITH cleaned AS (
   -- in lower case, in Latin letters, without a counter before it or a bracket after it
   SELECT kind, value,
-    regexp_replace(regexp_replace(lower(translate(value, '{LOOKALIKES[0]}', '{LOOKALIKES[1]}')),
-      '^[^a-z0-9#(]*([#]?[0-9]+[.):]?[ ]+|[(]?[a-z0-9][.):][ ]+)?', ''), '[ ]*[(\\\\[][^)\\\\]]*[)\\\\]][^a-z0-9]*$', '') AS t
+    regexp_replace(regexp_replace({_folded("value")},
+      '^[^\\\\p{{L}}\\\\p{{N}}#(]*([#]?[0-9]+[.):]?[ ]+|[(]?[\\\\p{{L}}\\\\p{{N}}][.):][ ]+)?', ''), '[ ]*[(\\\\[][^)\\\\]]*[)\\\\]][^\\\\p{{L}}\\\\p{{N}}]*$', '') AS t
   FROM typed
 ), variants AS (
   -- a value as it is, its words in order, and what stands before a remark
   SELECT DISTINCT kind, value, v, how FROM (
     SELECT kind, value, {_letters("t")} AS v, 0 AS how FROM cleaned
     UNION ALL
-    SELECT kind, value, {_letters("array_join(array_sort(split(regexp_replace(t, '[^a-z0-9]+', ' '), ' ')), '')")}, 1 FROM cleaned WHERE trim(t) RLIKE '[a-z0-9][^a-z0-9]+[a-z0-9]'
+    SELECT kind, value, {_in_order("t")}, 1 FROM cleaned WHERE trim(t) RLIKE '[\\\\p{{L}}\\\\p{{N}}][^\\\\p{{L}}\\\\p{{N}}]+[\\\\p{{L}}\\\\p{{N}}]'
     UNION ALL
     SELECT kind, value, {_letters("regexp_replace(t, '( [-/] |, | - ).*$', '')")}, 2 FROM cleaned WHERE t RLIKE ' [-/] |, '
   ) WHERE v <> ''
 ), names AS (
   SELECT DISTINCT ref_id, kind, r, how FROM (
-    SELECT ref_id, kind, {_letters("lower(name)")} AS r, 0 AS how FROM reference
+    SELECT ref_id, kind, {_letters(_folded("name"))} AS r, 0 AS how FROM reference
     UNION ALL
-    SELECT ref_id, kind, {_letters("array_join(array_sort(split(regexp_replace(lower(name), '[^a-z0-9]+', ' '), ' ')), '')")}, 1 FROM reference
+    SELECT ref_id, kind, {_in_order(_folded("name"))}, 1 FROM reference
   ) WHERE r <> ''
 ), sized AS (
   SELECT *, {EDITS.format("r")} AS k FROM names
@@ -57,7 +74,8 @@ WITH cleaned AS (
   FROM sized LATERAL VIEW explode(sequence(0, k)) AS i
 ), probes AS (
   -- the same substrings of the values, at every place that a segment can have moved to
-  SELECT DISTINCT v.kind, v.v, v.how, s.size, s.at, substring(v.v, p + 1, s.size) AS piece
+  -- (shapes of segments are broadcast: at most four for each place in the longest reference string, kind and form)
+  SELECT /*+ BROADCAST(s) */ DISTINCT v.kind, v.v, v.how, s.size, s.at, substring(v.v, p + 1, s.size) AS piece
   FROM (SELECT DISTINCT kind, v, how FROM variants) v
   JOIN (SELECT kind, how, at, length(segment) AS size, max(k) AS k, min(length(r) - k) AS least, max(length(r) + k) AS most FROM segments GROUP BY kind, how, at, length(segment)) s
     ON v.kind = s.kind AND (v.how = s.how OR (v.how = 2 AND s.how = 0)) AND length(v.v) BETWEEN s.least AND s.most
@@ -82,9 +100,14 @@ WITH cleaned AS (
     SELECT v.kind, v.value, p.ref_id, 1.5, 3 FROM variants v JOIN prefixes p ON v.kind = p.kind AND v.v = p.v AND v.how = p.how
   ) GROUP BY kind, value
 )
-SELECT kind, value, n, ref_id FROM typed JOIN meant USING (kind, value)
+SELECT kind, value, ref_id FROM meant
+"""
+
+#: The typed values with the entry that they mean (`meant`, as above), and the unmatched ones.
+ANSWERS = """
+SELECT kind, value, n, ref_id FROM {typed} JOIN {meant} USING (kind, value)
 UNION ALL
-SELECT kind, value, n, 0 FROM typed LEFT ANTI JOIN meant USING (kind, value)
+SELECT kind, value, n, 0 FROM {typed} LEFT ANTI JOIN {meant} USING (kind, value)
 """
 
 
@@ -93,12 +116,14 @@ def map_to_canonical(typed: DataFrame, reference: DataFrame) -> DataFrame:
 
     `typed` has kind, value and n (rows that the value stands for), each value once; `reference` has
     ref_id, kind and name, one row for each canonical name or alias. Values meet entries of their own
-    kind only. Letter case, separators, counters, bracketed remarks, word order and look-alike letters
-    don't count; slips do, up to SLIPS; a shortened value must fit one entry. The nearest entry wins,
+    kind only. Letter case, accents, separators, counters, bracketed remarks, word order and look-alike letters
+    don't count, letters and digits of all scripts do; slips do, up to SLIPS; a shortened value must fit one entry. The nearest entry wins,
     ties go to the smallest ref_id. Values without letters or digits mean none.
     """
     spark = typed.sparkSession
-    return spark.sql(SQL.replace("FROM typed", "FROM {typed}").replace("FROM reference", "FROM {reference}"), typed=typed, reference=reference)
+    typed = cut(typed)
+    meant = cut(spark.sql(MEANT.replace("{", "{{").replace("}", "}}").replace("FROM typed", "FROM {typed}").replace("FROM reference", "FROM {reference}"), typed=typed, reference=reference))
+    return spark.sql(ANSWERS, typed=typed, meant=meant)
 
 
 def _rows(spark, d):
@@ -125,11 +150,11 @@ def p2_unmatched(spark, d):
 
 
 def _only(x: str) -> str:
-    return f"regexp_replace({x}, '[^a-z0-9]', '', 'g')"
+    return f"regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 
 
 def _sorted(x: str) -> str:
-    return _only(f"array_to_string(list_sort(string_split(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'), ' ')), '')")
+    return _only(f"array_to_string(list_sort(string_split(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')), '')")
 
 
 def _lost(a: str, b: str) -> str:
@@ -142,16 +167,16 @@ _BRUTE = f"""WITH fields AS (
 ), spelled AS (
   SELECT * FROM fields f WHERE regexp_matches(value, '[^\\s\\p{{Z}}]') AND NOT EXISTS (SELECT 1 FROM label_reference r WHERE r.ref_kind = f.kind AND r.canonical = f.value)
 ), cleaned AS (
-  SELECT DISTINCT kind, value, regexp_replace(regexp_replace(lower(translate(value, '{LOOKALIKES[0]}', '{LOOKALIKES[1]}')),
-    '^[^a-z0-9#(]*([#]?[0-9]+[.):]?[ ]+|[(]?[a-z0-9][.):][ ]+)?', ''), '[ ]*[(\\[][^)\\]]*[)\\]][^a-z0-9]*$', '') AS t FROM spelled
+  SELECT DISTINCT kind, value, regexp_replace(regexp_replace({_folded("value")},
+    '^[^\\p{{L}}\\p{{N}}#(]*([#]?[0-9]+[.):]?[ ]+|[(]?[\\p{{L}}\\p{{N}}][.):][ ]+)?', ''), '[ ]*[(\\[][^)\\]]*[)\\]][^\\p{{L}}\\p{{N}}]*$', '') AS t FROM spelled
 ), variants AS (
   SELECT kind, value, {_only("t")} AS v, 0 AS how FROM cleaned UNION ALL
-  SELECT kind, value, {_sorted("t")}, 1 FROM cleaned WHERE regexp_matches(trim(t), '[a-z0-9][^a-z0-9]+[a-z0-9]') UNION ALL
+  SELECT kind, value, {_sorted("t")}, 1 FROM cleaned WHERE regexp_matches(trim(t), '[\\p{{L}}\\p{{N}}][^\\p{{L}}\\p{{N}}]+[\\p{{L}}\\p{{N}}]') UNION ALL
   SELECT kind, value, {_only("regexp_replace(t, '( [-/] |, | - ).*$', '')")}, 2 FROM cleaned WHERE regexp_matches(t, ' [-/] |, ')
 ), names AS (
   SELECT ref_id, ref_kind AS kind, unnest(list_concat([canonical], coalesce(aliases, []))) AS name FROM label_reference
 ), forms AS (
-  SELECT DISTINCT ref_id, kind, {_only("lower(name)")} AS r, 0 AS how FROM names UNION SELECT DISTINCT ref_id, kind, {_sorted("lower(name)")}, 1 FROM names
+  SELECT DISTINCT ref_id, kind, {_only(_folded("name"))} AS r, 0 AS how FROM names UNION SELECT DISTINCT ref_id, kind, {_sorted(_folded("name"))}, 1 FROM names
 ), near AS (
   SELECT v.kind, v.value, f.ref_id, v.how AS step, (levenshtein(v.v, f.r) + greatest({_lost("v.v", "f.r")}, {_lost("f.r", "v.v")})) / 2.0 AS slips, f.r
   FROM variants v JOIN forms f ON v.kind = f.kind AND (v.how = f.how OR (v.how = 2 AND f.how = 0)) WHERE v.v <> '' AND levenshtein(v.v, f.r) <= {EDITS.format("f.r")}

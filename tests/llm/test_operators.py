@@ -50,6 +50,11 @@ def test_json_copies(spark):
     assert rows(variants.writing_copies(df, "raw_id", json_cols=("payload",))) == [(1, 2), (6, 7)]
 
 
+def test_repeated_ids_are_one_record(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "A-B"), (2, "A-B"), (3, "c")], "id bigint, t string")
+    assert rows(variants.writing_copies(df, "id")) == [(1, 2)]
+
+
 def test_hot_and_empty_copies(spark):
     df = spark.range(25_000).select("id", F.lit("Same text").alias("t"))
     assert variants.writing_copies(df, "id").agg(F.count("*"), F.max("keep_id")).first()[:] == (24_999, 0)
@@ -74,6 +79,12 @@ def test_canonical(spark, value, ref):
     assert {(r.kind, r.ref_id) for r in out.collect()} == {("k", ref), ("other", 0)}
 
 
+def test_canonical_of_other_scripts(spark):
+    names = spark.createDataFrame([(1, "k", "Αμφιβολία"), (2, "k", "Сомнение"), (3, "k", "Exagération")], "ref_id int, kind string, name string")
+    typed = spark.createDataFrame([("k", v, 1) for v in ("αμφιβολια", "СОМНЕНИЕ.", "сомненье", "exageration", "EXAGÉRATION", "疑い")], "kind string, value string, n bigint")
+    assert {r.value: r.ref_id for r in canonical.map_to_canonical(typed, names).collect()} == {"αμφιβολια": 1, "СОМНЕНИЕ.": 2, "сомненье": 2, "exageration": 3, "EXAGÉRATION": 3, "疑い": 0}
+
+
 def test_pigeonhole_loses_nothing(spark):
     """All pairs within the edits, found by brute force, are found by the join."""
     random.seed(2)
