@@ -82,20 +82,33 @@ def spans_match(norm_a: Column, content_a: Column, norm_b: Column, content_b: Co
     return (F.contains(norm_a, norm_b) | F.contains(norm_b, norm_a)) & overlaps(content_a, content_b)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once although `use` may name it often, also within lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def window_around(tokens: Column, shared: Column, pad: int = 2) -> Column:
     """Words from the first to the last one that is shared, with `pad` more at either end, joined by spaces."""
     places = F.filter(F.transform(tokens, lambda t, i: F.when(F.array_contains(shared, t), i)), lambda i: i.isNotNull())
-    low = F.greatest(F.lit(0), F.array_min(places) - pad)
-    high = F.least(F.size(tokens), F.array_max(places) + pad + 1)
-    return F.when(F.size(places) > 0, F.array_join(F.slice(tokens, low + 1, high - low), " "))
+
+    def cut_out(p):
+        low = F.greatest(F.lit(0), F.array_min(p) - pad)
+        high = F.least(F.size(tokens), F.array_max(p) + pad + 1)
+        return F.when(F.size(p) > 0, F.array_join(F.slice(tokens, low + 1, high - low), " "))
+
+    return let(places, cut_out)
 
 
 def intersect_window(a: Column, b: Column, pad: int = 2) -> Column:
     """The shorter (by characters; ties: the first) of the windows around shared words in two texts; null if none is shared."""
-    x, y = tokenize(a), tokenize(b)
-    shared = F.filter(x, lambda t: F.array_contains(y, t))
-    first, second = window_around(x, shared, pad), window_around(y, shared, pad)
-    return F.when(F.size(shared) > 0, F.when(F.length(first) <= F.length(second), first).otherwise(second))
+
+    def shorter(s):
+        first, second = window_around(s["x"], s["shared"], pad), window_around(s["y"], s["shared"], pad)
+        both = let(F.struct(first.alias("a"), second.alias("b")), lambda w: F.when(F.length(w["a"]) <= F.length(w["b"]), w["a"]).otherwise(w["b"]))
+        return F.when(F.size(s["shared"]) > 0, both)
+
+    texts = F.struct(tokenize(a).alias("x"), tokenize(b).alias("y"))
+    return let(texts, lambda s: let(F.struct(s["x"].alias("x"), s["y"].alias("y"), F.filter(s["x"], lambda t: F.array_contains(s["y"], t)).alias("shared")), shorter))
 
 
 def title_capitalization(x: Column) -> Column:

@@ -25,3 +25,13 @@ def seeded(idx: Column, seed: int = 0) -> Column:
 def pick(usage: DataFrame, seed: int = 0, first: int = 12, limit: int = 3, number: int = 3) -> DataFrame:
     """Up to `number` available articles in seeded random order; none if all are used up."""
     return available(usage, first, limit).orderBy(seeded(F.col("idx"), seed), "idx").limit(number)
+
+
+def assigned(picks: DataFrame, articles: DataFrame, place: str = "idx") -> DataFrame:
+    """The articles at the picked places; places without an article drop out. `picks` are few and are broadcast."""
+    return articles.join(F.broadcast(picks.select(place)), place)
+
+
+def title_list(articles: Column) -> Column:
+    """Articles as a submission lists them: their ids and titles."""
+    return F.transform(articles, lambda a: F.struct(a["id"].alias("id"), a["title"].alias("title")))

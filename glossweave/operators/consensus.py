@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +15,12 @@ from glossweave.session import cut
 
 #: Text that stands for "nothing selected".
 SENTINEL = "no polarizing language selected"
+#: Matches that one task settles in order; of more than these, rounds over all tasks settle what they can first.
+SMALL = 200_000
+#: Members of a cluster whose texts are folded in one row; larger clusters are folded in rounds.
+FOLD = 10_000
+#: Texts of one word in an article from which its rows are spread over several tasks.
+SPREAD = 20_000
 
 
 def drop_sentinel(spans: DataFrame, normalize: bool = False) -> DataFrame:
@@ -27,43 +38,68 @@ def span_classes(spans: DataFrame) -> DataFrame:
     return own.groupBy("article_id", "norm").agg(F.min("ord").alias("ord"), F.first("content").alias("content"))
 
 
-def matching_pairs(classes: DataFrame) -> DataFrame:
+def matching_pairs(classes: DataFrame, spread: int = SPREAD) -> DataFrame:
     """(article_id, a, b): places a < b of different texts that match.
 
     Of two matching texts the longer holds every word of the shorter but perhaps its first and last, cut
     ones; so of the shorter's three rarest words at least one is a word of the longer. That equi-join
-    finds all pairs; the exact test follows.
+    finds all pairs, with places and lengths only and with marks of the words; the exact test follows.
+    A word of more than `spread` texts of an article is spread over several tasks.
     """
-    words = classes.where(F.size("content") >= 2).select("article_id", "ord", "norm", "content", F.explode("content").alias("word"))
+    marks = F.aggregate(F.transform("content", lambda w: F.pmod(F.xxhash64(w), F.lit(64)).cast("int")), F.lit(0).cast("bigint"), lambda s, k: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k)))
+    words = classes.where(F.size("content") >= 2).select("article_id", "ord", F.length("norm").alias("size"), marks.alias("marks"), F.explode("content").alias("word"))
     seen = words.groupBy("article_id", "word").agg(F.count("*").alias("n"))
-    ranked = words.join(seen, ["article_id", "word"]).groupBy("article_id", "ord").agg(F.first("norm").alias("norm"), F.first("content").alias("content"), F.slice(F.array_sort(F.collect_list(F.struct("n", "word"))), 1, 3).alias("rare"))
-    short = ranked.select("article_id", F.col("ord").alias("s"), F.col("norm").alias("s_norm"), F.col("content").alias("s_content"), F.explode(F.col("rare.word")).alias("word"))
-    long = words.select("article_id", F.col("ord").alias("t"), F.col("norm").alias("t_norm"), F.col("content").alias("t_content"), "word")
-    both = short.join(long, ["article_id", "word"]).where((F.col("s") != F.col("t")) & (F.length("s_norm") <= F.length("t_norm")))
+    counted = words.join(seen, ["article_id", "word"])
+    parts = F.ceil(F.col("n") / spread).cast("int")
+    short = counted.groupBy("article_id", "ord", "size", "marks").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "word"))), 1, 3).alias("rare")).select("article_id", F.col("ord").alias("s"), F.col("size").alias("s_size"), F.col("marks").alias("s_marks"), F.inline("rare"))
+    short = short.withColumn("part", F.pmod(F.xxhash64("s"), parts).cast("int")).drop("n")
+    long = counted.select("article_id", F.col("ord").alias("t"), F.col("size").alias("t_size"), F.col("marks").alias("t_marks"), "word", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    lacks = F.bit_count(F.col("s_marks").bitwiseAND(F.bitwise_not(F.col("t_marks"))))
+    both = short.join(long, ["article_id", "word", "part"]).where((F.col("s") != F.col("t")) & (F.col("s_size") <= F.col("t_size")) & (lacks <= 2)).select("article_id", "s", "t").distinct()
+    for side in ("s", "t"):
+        both = both.join(classes.select("article_id", F.col("ord").alias(side), F.col("norm").alias(f"{side}_norm"), F.col("content").alias(f"{side}_content")), ["article_id", side])
     hit = both.where(spans_match(F.col("s_norm"), F.col("s_content"), F.col("t_norm"), F.col("t_content")))
     return hit.select("article_id", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
 
 
-def leader_clusters(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(article_id, ord, leader): in order, a text that no earlier leader matches leads, any other follows the earliest.
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Followers among the b of matches (a before b) that come in order of b: those with an a that doesn't follow."""
+    followers: set[tuple] = set()
+    for batch in batches:
+        keep = []
+        for article, a, b in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            new = (article, b) not in followers and (article, a) not in followers
+            if new:
+                followers.add((article, b))
+            keep.append(new)
+        out = batch.filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([out.column(0), out.column(2)], names=["article_id", "ord"])
+
 
-    Rounds: a text whose earlier matches are all decided and no leaders becomes a leader, one with an
-    earlier leader a follower; the first undecided text of each article is decided in every round.
+def followers(pairs: DataFrame, small: int = SMALL) -> DataFrame:
+    """(article_id, ord) of all texts that follow a leader, from the matches (article_id, a, b) with a before b.
+
+    A text without an earlier match leads. Of up to `small` matches one task finds the followers in order.
+    Of more, a round makes all that match such a leader followers and drops their matches on either
+    side, until no more than `small` are left; most matches are settled in the first rounds.
     """
-    state = cut(classes.select("article_id", "ord").withColumn("leads", F.lit(None).cast("boolean")))
-    while True:
-        earlier = pairs.join(state.select("article_id", F.col("ord").alias("a"), F.col("leads").alias("a_leads")), ["article_id", "a"])
-        facts = earlier.groupBy("article_id", F.col("b").alias("ord")).agg(F.max(F.coalesce("a_leads", F.lit(False))).alias("has_leader"), F.max(F.col("a_leads").isNull()).alias("waits"))
-        state = cut(
-            state.join(facts, ["article_id", "ord"], "left").select(
-                "article_id", "ord", F.coalesce("leads", F.when(F.coalesce("has_leader", F.lit(False)), F.lit(False)).when(~F.coalesce("waits", F.lit(False)), F.lit(True))).alias("leads")
-            )
-        )
-        if state.where("leads IS NULL").isEmpty():
-            break
-    leaders = state.where("leads").select("article_id", F.col("ord").alias("a"))
-    first = pairs.join(leaders, ["article_id", "a"]).groupBy("article_id", F.col("b").alias("ord")).agg(F.min("a").alias("a"))
-    return state.join(first, ["article_id", "ord"], "left").select("article_id", "ord", F.when(F.col("leads"), F.col("ord")).otherwise(F.col("a")).alias("leader"))
+    rest, found = pairs, []
+    while rest.count() > small:
+        waiting = rest.select("article_id", F.col("b").alias("a")).distinct()
+        led = cut(rest.join(waiting, ["article_id", "a"], "left_anti").select("article_id", "b").distinct())
+        found.append(led.select("article_id", F.col("b").alias("ord")))
+        rest = cut(rest.join(led, ["article_id", "b"], "left_anti").join(led.withColumnRenamed("b", "a"), ["article_id", "a"], "left_anti").select("article_id", "a", "b"))
+    keyed = rest.select("article_id", "a", "b", F.to_json(F.struct("a")).alias("ka"), F.to_json(F.struct(F.col("b").alias("a"))).alias("kb"))
+    place = pairs.schema["b"].dataType.simpleString()
+    found.append(keyed.repartition(1).sortWithinPartitions("article_id", "b").mapInArrow(_settle, f"article_id {pairs.schema['article_id'].dataType.simpleString()}, ord {place}"))
+    return cut(reduce(DataFrame.unionByName, found))
+
+
+def leader_clusters(classes: DataFrame, pairs: DataFrame, small: int = SMALL) -> DataFrame:
+    """(article_id, ord, leader): in order, a text that no earlier leader matches leads, any other follows the earliest."""
+    follow = followers(pairs, small)
+    first = pairs.join(follow.withColumnRenamed("ord", "a"), ["article_id", "a"], "left_anti").groupBy("article_id", F.col("b").alias("ord")).agg(F.min("a").alias("a"))
+    return classes.select("article_id", "ord").join(first, ["article_id", "ord"], "left").select("article_id", "ord", F.coalesce("a", "ord").alias("leader"))
 
 
 def confidence(supporters: Column, consistent: Column, capped: bool = False) -> Column:
@@ -75,32 +111,66 @@ def confidence(supporters: Column, consistent: Column, capped: bool = False) ->
 def _vote(spans: DataFrame, label: str) -> DataFrame:
     """The most frequent label of each cluster; ties go to the one seen first."""
     counts = spans.groupBy("article_id", "leader", label).agg(F.count("*").alias("n"), F.min("ord").alias("first"))
-    best = F.max_by(label, F.struct(F.col("n"), -F.col("first"))).alias(label)
-    return counts.groupBy("article_id", "leader").agg(best, (F.count("*") == 1).alias(f"one_{label}"))
+    fewest = counts.select("*", F.struct((-F.col("n")).alias("n"), "first").alias("rank"))
+    return fewest.groupBy("article_id", "leader").agg(F.min_by(label, "rank").alias(label), (F.count("*") == 1).alias(f"one_{label}"))
+
+
+def fold_texts(marked: DataFrame, sizes: DataFrame, pad: int = 2, fold: int = FOLD) -> DataFrame:
+    """(article_id, leader, folded): each cluster's texts narrowed one after the other to the words that they share.
+
+    `marked` has article_id, leader, ord, norm of every member, `sizes` (article_id, leader, num_supporters).
+    Every member is folded, repeated texts as well. A fold never lengthens the text, and one that changes words shortens it, so
+    clusters of more than `fold` members are folded in rounds: each finds the first member beyond
+    the last one that changes the text. Rounds are as many as the most changes of a cluster's text.
+    """
+    key = ["article_id", "leader"]
+    few = marked.join(sizes.where((F.col("num_supporters") > 1) & (F.col("num_supporters") <= fold)).select(*key), key, "left_semi")
+    texts = few.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ord", "norm"))).alias("texts"))
+    out = texts.select(*key, F.aggregate(F.slice(F.col("texts.norm"), 2, F.size("texts")), F.element_at("texts.norm", 1), lambda t, m: F.coalesce(intersect_window(t, m, pad), t)).alias("folded"))
+    large = sizes.where(F.col("num_supporters") > fold).select(*key)
+    if large.isEmpty():
+        return out
+    many = cut(marked.join(large, key, "left_semi").select(*key, "ord", "norm"))
+    distinct = cut(many.select(*key, "norm").distinct())
+    state = cut(many.groupBy(*key).agg(F.min_by("norm", "ord").alias("t"), F.min("ord").alias("at")))
+    done = []
+    while True:
+        changes = state.join(distinct, key).withColumn("new", intersect_window(F.col("t"), F.col("norm"), pad)).where("new <> t").select(*key, "norm", "new", "at")
+        step = cut(many.join(changes, [*key, "norm"]).where("ord > at").groupBy(*key).agg(F.min_by("new", "ord").alias("t"), F.min("ord").alias("at")))
+        done.append(state.join(step, key, "left_anti").select(*key, F.col("t").alias("folded")))
+        if step.isEmpty():
+            break
+        state = step
+    return reduce(DataFrame.unionByName, done, out)
 
 
-def build_consensus(spans: DataFrame, pad: int = 2, capped: bool = False) -> DataFrame:
-    """(article_id, leader, text, category, subcategory, confidence, num_supporters, distinct_workers, label_consistent).
+def build_consensus(spans: DataFrame, pad: int = 2, capped: bool = False, small: int = SMALL, fold: int = FOLD) -> DataFrame:
+    """(article_id, leader, [title,] text, category, subcategory, confidence, num_supporters, distinct_workers, label_consistent).
 
-    `spans` has article_id, ord (bigint, the place in reading order, unique), text, category, subcategory,
-    worker. Category and subcategory are voted for one by one. A cluster of one span keeps its raw text;
-    otherwise the texts are narrowed one after the other to the words that they share, each different
-    text once. Spans with a null article or text are left out; null labels vote as a label of their own.
+    `spans` has article_id, ord (the place in reading order, unique; a bigint or an ordered struct), text, category,
+    subcategory, worker, and perhaps title: the first one of a cluster, or else of its article, is kept. Category and
+    subcategory are voted for one by one. A cluster of one span keeps its raw text; otherwise the texts of all members
+    are narrowed one after the other to the words that they share. Spans with a null article or text are left out;
+    null labels vote as a label of their own.
     """
-    named = spans.select("article_id", "ord", "text", "category", "subcategory", "worker")
+    titled = "title" in spans.columns
+    named = spans.select("article_id", "ord", "text", "category", "subcategory", "worker", F.col("title") if titled else F.lit(None).cast("string").alias("title"))
     spans = cut(named.where(F.col("article_id").isNotNull() & F.col("text").isNotNull()))
     classes = cut(span_classes(spans))
-    clusters = leader_clusters(classes, cut(matching_pairs(classes)))
-    of_text = classes.join(clusters, ["article_id", "ord"]).select("article_id", "norm", "content", F.col("ord").alias("first_ord"), "leader")
+    clusters = leader_clusters(classes, cut(matching_pairs(classes)), small)
+    of_text = classes.join(clusters, ["article_id", "ord"]).select("article_id", "norm", (F.size("content") < 2).alias("alone"), "leader")
     own = spans.withColumn("norm", normalize_text(F.col("text")))
     # texts with under two words that count match nothing, not even their copies
-    marked = own.join(of_text, ["article_id", "norm"]).withColumn("leader", F.when(F.size("content") < 2, F.col("ord")).otherwise(F.col("leader"))).drop("content", "first_ord")
-    texts = of_text.groupBy("article_id", "leader").agg(F.array_sort(F.collect_list(F.struct("first_ord", "norm"))).alias("texts"))
-    folded = texts.select("article_id", "leader", F.aggregate(F.slice(F.col("texts.norm"), 2, F.greatest(F.lit(1), F.size("texts"))), F.element_at("texts.norm", 1), lambda t, m: F.coalesce(intersect_window(t, m, pad), t)).alias("folded"))
-    base = marked.groupBy("article_id", "leader").agg(F.count("*").alias("num_supporters"), F.count_distinct("worker").alias("distinct_workers"), F.min_by("text", "ord").alias("raw"))
-    out = base.join(folded, ["article_id", "leader"], "left").join(_vote(marked, "category"), ["article_id", "leader"]).join(_vote(marked, "subcategory"), ["article_id", "leader"])
+    marked = cut(own.join(of_text, ["article_id", "norm"]).withColumn("leader", F.when(F.col("alone"), F.col("ord")).otherwise(F.col("leader"))).drop("alone"))
+    key = ["article_id", "leader"]
+    seen = F.struct(F.col("title").isNull(), "ord")
+    base = cut(marked.groupBy(*key).agg(F.count("*").alias("num_supporters"), F.count_distinct("worker").alias("distinct_workers"), F.min_by("text", "ord").alias("raw"), F.min_by("title", seen).alias("own_title"), F.min("ord").alias("first")))
+    out = base.join(fold_texts(marked, base, pad, fold), key, "left").join(_vote(marked, "category"), key).join(_vote(marked, "subcategory"), key)
+    if titled:
+        named = base.groupBy("article_id").agg(F.min_by("own_title", F.struct(F.col("own_title").isNull(), "first")).alias("article_title"))
+        out = out.join(named, "article_id").withColumn("title", F.coalesce("own_title", "article_title"))
     consistent = F.col("one_category") & F.col("one_subcategory")
     return out.select(
-        "article_id", "leader", F.when(F.col("num_supporters") == 1, F.col("raw")).otherwise(F.coalesce("folded", "raw")).alias("text"), "category", "subcategory",
+        *key, *(["title"] if titled else []), F.when(F.col("num_supporters") == 1, F.col("raw")).otherwise(F.coalesce("folded", "raw")).alias("text"), "category", "subcategory",
         confidence(F.col("num_supporters"), consistent, capped).alias("confidence"), "num_supporters", "distinct_workers", consistent.alias("label_consistent"),
     )

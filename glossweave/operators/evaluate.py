@@ -2,45 +2,109 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from glossweave.functions.text import normalize_label, overlaps, safe_ratio, tokenize
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def _listed(df: DataFrame, side: str, labelled: bool) -> DataFrame:
-    key = ["title", "category", "subcategory"] if labelled else ["title"]
-    rows = df.select(F.coalesce("title", F.lit("UNKNOWN_TITLE")).alias("title"), normalize_label(F.col("category")).alias("category"), normalize_label(F.col("subcategory")).alias("subcategory"), "ord", tokenize(F.col("text")).alias("tokens"))
-    return rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ord", "tokens"))).alias(side))
+from glossweave.functions.text import normalize_label, normalize_text, safe_ratio, tokenize
+from glossweave.session import cut
 
+#: Overlapping pairs up to which tasks match in order, group by group; of more, rounds over all tasks match what they can first.
+SMALL = 2_000_000
+#: Spans of one word in a group from which its rows are spread over several tasks.
+SPREAD = 20_000
 
-def greedy_matches(llm: Column, gold: Column, min_overlap: int = 2) -> Column:
-    """Each span of `llm` in order takes the first free span of `gold` that overlaps it; the places taken."""
-    places = F.transform(gold, lambda g, i: i)
 
-    def take(used, span):
-        free = F.filter(places, lambda j: ~F.array_contains(used, j) & overlaps(span["tokens"], F.get(gold, j)["tokens"], min_overlap))
-        return F.concat(used, F.slice(free, 1, 1))
+def _numbered(df: DataFrame, labelled: bool, normalize_titles: bool) -> DataFrame:
+    """(g, ord, tokens): a span's group, that is its title and labels as one hash, its place and its distinct words."""
+    title = F.coalesce("title", F.lit("UNKNOWN_TITLE"))
+    key = [normalize_text(title) if normalize_titles else title] + ([normalize_label(F.col("category")), normalize_label(F.col("subcategory"))] if labelled else [])
+    return df.select(F.md5(F.to_json(F.array(*key))).alias("g"), key[0].alias("title"), "ord", F.array_distinct(tokenize(F.col("text"))).alias("tokens"))
 
-    return F.aggregate(llm, F.array().cast("array<int>"), take)
 
+def overlapping_pairs(llm: DataFrame, gold: DataFrame, min_overlap: int = 2, spread: int = SPREAD) -> DataFrame:
+    """(g, l, o): places of model and consensus spans of a group that share `min_overlap` words or more.
 
-def count_matches(llm: DataFrame, gold: DataFrame, min_overlap: int = 2, labelled: bool = True) -> DataFrame:
+    Spans are sought under their rarest words of the group; the last min_overlap - 1 can't be the first of
+    so many shared ones. A word of more than `spread` spans is spread over several tasks.
+    """
+    if min_overlap < 1:
+        return llm.select("g", F.col("ord").alias("l")).join(gold.select("g", F.col("ord").alias("o")), "g")
+    words = [df.select("g", "ord", F.explode("tokens").alias("word")) for df in (llm, gold)]
+    seen = [w.groupBy("g", "word").agg(F.count("*").alias(n)) for w, n in zip(words, ("n", "m"), strict=True)]
+    both = cut(seen[0].join(seen[1], ["g", "word"]))
+
+    def keys(w: DataFrame, name: str, hashes: str) -> DataFrame:
+        ranked = w.join(both, ["g", "word"]).groupBy("g", "ord").agg(F.array_sort(F.collect_list(F.struct((F.col("n") + F.col("m")).alias("n"), "word", "m"))).alias("words")).where(F.size("words") >= min_overlap)
+        return ranked.select("g", F.col("ord").alias(name), F.transform("words", lambda v: F.xxhash64(v["word"])).alias(hashes), F.inline(F.slice("words", F.lit(1), F.size("words") - (min_overlap - 1))))
+
+    parts = F.ceil(F.col("m") / spread).cast("int")
+    x = keys(words[0], "l", "x").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n", "m")
+    y = keys(words[1], "o", "y").withColumn("part", F.pmod(F.xxhash64("o"), parts).cast("int")).drop("n", "m")
+    shared = F.array_intersect("x", "y")
+    first = F.get(shared, F.lit(0)) == F.xxhash64("word")  # a pair comes once, under the first word that it shares
+    return x.join(y, ["g", "word", "part"]).where((F.size(shared) >= min_overlap) & first).select("g", "l", "o")
+
+
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs in order of group, model span and consensus span: each model span takes the first free one."""
+    group, taken, last = None, set(), None
+    for batch in batches:
+        keep = []
+        for g, l, o in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):  # noqa: E741
+            if g != group:
+                group, taken, last = g, set(), None
+            new = l != last and o not in taken
+            if new:
+                taken.add(o)
+                last = l
+            keep.append(new)
+        out = batch.filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([out.column(0)], names=["g"])
+
+
+def greedy_matches(pairs: DataFrame, small: int = SMALL) -> DataFrame:
+    """(g, n): matches of each group if each model span in order takes the first free consensus span that overlaps it.
+
+    Up to `small` pairs are matched in order, by group. Of more, a round keeps every pair in which either span
+    is the other's first, as no other pair can take one of the two before, and drops the other pairs of both;
+    until no more than `small` are left.
+    """
+    order = lambda c: F.struct(F.col(c))
+    rest, found = cut(pairs), []
+    while rest.count() > small:
+        firsts = rest.groupBy("g", "l").agg(F.min("o").alias("o")).join(rest.groupBy("g", "o").agg(F.min("l").alias("l")), ["g", "l", "o"])
+        firsts = cut(firsts.select("g", "l", "o"))
+        found.append(firsts.groupBy("g").agg(F.count("*").alias("n")))
+        rest = cut(rest.join(firsts.select("g", "l"), ["g", "l"], "left_anti").join(firsts.select("g", "o"), ["g", "o"], "left_anti").select("g", "l", "o"))
+    keyed = rest.select("g", F.to_json(order("l")).alias("kl"), F.to_json(order("o")).alias("ko"), "l", "o")
+    found.append(keyed.repartition("g").sortWithinPartitions("g", "l", "o").drop("l", "o").mapInArrow(_greedy, "g string").groupBy("g").agg(F.count("*").alias("n")))
+    return reduce(DataFrame.unionByName, found).groupBy("g").agg(F.sum("n").alias("n"))
+
+
+def count_matches(llm: DataFrame, gold: DataFrame, min_overlap: int = 2, labelled: bool = True, normalize_titles: bool = False, small: int = SMALL) -> DataFrame:
     """(title, correct, total_llm, total_gold) of each title on both sides.
 
-    Both frames have title, ord, text, category, subcategory. Equal normalised labels are a join key, so
-    the ordered matching runs within one title and label; `labelled=False` matches by words alone.
-    Titles on one side only count nowhere. A group (one title and label) is folded in one row.
+    Both frames have title, ord (unique, of any ordered type), text, category, subcategory. Equal normalised labels
+    are part of a group, so the ordered matching runs within one title and label; `labelled=False` matches by words
+    alone. Titles are compared as they are, or without case and punctuation with `normalize_titles`. A null title
+    counts as UNKNOWN_TITLE, a null text has no words. Titles on one side only count nowhere.
     """
-    key = ["title", "category", "subcategory"] if labelled else ["title"]
-    totals = []
-    for df, name in ((llm, "total_llm"), (gold, "total_gold")):
-        totals.append(df.groupBy(F.coalesce("title", F.lit("UNKNOWN_TITLE")).alias("title")).agg(F.count("*").alias(name)))
-    found = _listed(llm, "llm", labelled).join(_listed(gold, "gold", labelled), key).select("title", F.size(greedy_matches(F.col("llm"), F.col("gold"), min_overlap)).alias("n"))
-    correct = found.groupBy("title").agg(F.sum("n").alias("correct"))
+    x, y = (_numbered(df, labelled, normalize_titles) for df in (llm, gold))
+    totals = [df.groupBy("title").agg(F.count("*").alias(name)) for df, name in ((x, "total_llm"), (y, "total_gold"))]
+    titles = x.groupBy("g").agg(F.first("title").alias("title"))
+    correct = greedy_matches(overlapping_pairs(x, y, min_overlap), small).join(titles, "g").groupBy("title").agg(F.sum("n").alias("correct"))
     return totals[0].join(totals[1], "title").join(correct, "title", "left").select("title", F.coalesce("correct", F.lit(0)).cast("bigint").alias("correct"), "total_llm", "total_gold")
 
 
+def rounded(scored: DataFrame, places: int = 3) -> DataFrame:
+    """Scores for display: every double rounded half up to `places`; counts stay whole."""
+    return scored.select(*[F.round(f.name, places).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in scored.schema.fields])
+
+
 def scores(counts: DataFrame) -> DataFrame:
     """The counts with precision, recall, F1 (from unrounded values, 0 where undefined) and the category scores.
 

@@ -23,20 +23,28 @@ def latin1_repair(x: Column) -> Column:
     return F.when(F.regexp_like(x, F.lit(r"^[\x00-\xFF]*$")), F.decode(F.encode(x, "ISO-8859-1"), "UTF-8")).otherwise(x)
 
 
+def mojibake_score(value: str, encoding: str) -> int:
+    """Neighbouring characters that, as bytes of the encoding, are the start of a UTF-8 sequence and its continuation."""
+    raw = value.encode(encoding, "replace")
+    return sum(0xC2 <= a <= 0xF4 and 0x80 <= b <= 0xBF for a, b in zip(raw, raw[1:], strict=False))
+
+
 def _repair(value: str | None) -> str | None:
     if not value or value.isascii():
         return value
     for encoding in ENCODINGS:
         try:
-            return value.encode(encoding).decode("utf-8")
+            fixed = value.encode(encoding).decode("utf-8")
         except UnicodeError:
             continue
+        if mojibake_score(fixed, encoding) < mojibake_score(value, encoding):
+            return fixed
     return value
 
 
 @F.pandas_udf(T.StringType())
 def repair_cell(values: pd.Series) -> pd.Series:
-    """Each cell re-read as UTF-8 if all of it decodes cleanly; null, ASCII and other cells stay as they are."""
+    """Each cell re-read as UTF-8 if all of it decodes cleanly and looks less garbled then; null, ASCII and other cells stay as they are."""
     return values.map(_repair, na_action="ignore")
 
 

@@ -46,3 +46,10 @@ def can_save(category: Column, subcategory: Column, article: Column, text: Colum
 def remove_annotation(annotations: Column, place: int) -> Column:
     """An article's annotations without the one at `place`."""
     return F.filter(annotations, lambda a, i: i != place)
+
+
+def append_annotation(annotations: Column, article: Column, annotation: Column) -> Column:
+    """A map from article to annotations with one more annotation at the end of an article's list; a new article gets a list."""
+    own = F.coalesce(F.try_element_at(annotations, article), F.filter(F.array(annotation), lambda a: F.lit(False)))
+    others = F.map_filter(F.coalesce(annotations, F.map_from_arrays(F.array(article), F.array(own))), lambda k, v: k != article)
+    return F.map_concat(others, F.map_from_arrays(F.array(article), F.array(F.concat(own, F.array(annotation)))))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glossweave.functions.text import safe_title
+from glossweave.operators.evaluate import rounded
 
 SUBMISSION = (
     "struct<articleTitles: array<struct<id: bigint, title: string>>, completionCode: string, "
@@ -29,6 +30,12 @@ def load_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return checked.where(F.col("j").isNotNull() | F.raise_error(F.lit("no JSON of the expected shape")).isNotNull())
 
 
+def load_json_lines(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """Column `j` of one JSON value a line, in as many tasks as the files have splits; broken lines raise, blank ones are skipped."""
+    rows = lines.where(F.length(F.trim(column)) > 0).select(F.monotonically_increasing_id().alias("line"), F.from_json(column, schema, {"mode": "FAILFAST"}).alias("j"))
+    return rows.where(F.col("j").isNotNull() | F.raise_error(F.lit("no JSON of the expected shape")).isNotNull())
+
+
 def read_submissions(spark: SparkSession, path: str) -> DataFrame:
     """(submission_pos, submission_key, s) of an export, in file order."""
     return load_json(spark, path, f"map<string, {SUBMISSION}>").select(F.posexplode("j").alias("submission_pos", "submission_key", "s"))
@@ -45,7 +52,11 @@ def submission_spans(submissions: DataFrame) -> DataFrame:
 
 def flatten_llm(spark: SparkSession, path: str) -> DataFrame:
     """(title, ord, text, category, subcategory) of articles with `items`, or else `annotations`; empty lists give none."""
-    listed = load_json(spark, path, LLM).select(F.posexplode("j").alias("article_pos", "a"))
+    return llm_spans(load_json(spark, path, LLM).select(F.posexplode("j").alias("article_pos", "a")))
+
+
+def llm_spans(listed: DataFrame) -> DataFrame:
+    """The spans of articles `a` in order of `article_pos`."""
     spans = F.when(F.size("a.items") > 0, F.col("a.items")).when(F.size("a.annotations") > 0, F.col("a.annotations"))
     rows = listed.select("article_pos", F.coalesce("a.title", F.lit("UNKNOWN_TITLE")).alias("title"), F.posexplode(spans).alias("pos", "s"))
     return rows.select("title", (F.col("article_pos").cast("bigint") * 2**21 + F.col("pos")).alias("ord"), *[F.coalesce(f"s.{c}", F.lit("")).alias(c) for c in ("text", "category", "subcategory")])
@@ -53,13 +64,21 @@ def flatten_llm(spark: SparkSession, path: str) -> DataFrame:
 
 def flatten_llm_flat(spark: SparkSession, path: str) -> DataFrame:
     """The same of a flat list of annotations."""
-    rows = load_json(spark, path, LLM_FLAT).select(F.posexplode("j").alias("pos", "s"))
+    return llm_flat_spans(load_json(spark, path, LLM_FLAT).select(F.posexplode("j").alias("pos", "s")))
+
+
+def llm_flat_spans(rows: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("s.title", F.lit("UNKNOWN_TITLE")).alias("title"), F.col("pos").cast("bigint").alias("ord"), *[F.coalesce(f"s.{c}", F.lit("")).alias(c) for c in ("text", "category", "subcategory")])
 
 
 def flatten_gold(spark: SparkSession, path: str) -> DataFrame:
     """The same of a consensus file, regrouped by the rows' own titles."""
-    rows = load_json(spark, path, GOLD).select(F.posexplode("j").alias("article_pos", "key", "spans")).select("article_pos", F.posexplode("spans").alias("pos", "s"))
+    return gold_spans(load_json(spark, path, GOLD).select(F.posexplode("j").alias("article_pos", "key", "spans")))
+
+
+def gold_spans(articles: DataFrame) -> DataFrame:
+    """The spans of articles' lists `spans` in order of `article_pos`."""
+    rows = articles.select("article_pos", F.posexplode("spans").alias("pos", "s"))
     return rows.select(F.coalesce("s.title", F.lit("UNKNOWN_TITLE")).alias("title"), (F.col("article_pos").cast("bigint") * 2**21 + F.col("pos")).alias("ord"), *[F.coalesce(f"s.{c}", F.lit("")).alias(c) for c in ("text", "category", "subcategory")])
 
 
@@ -91,11 +110,31 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def gold_json(gold: DataFrame) -> DataFrame:
     """One JSON object for each article: its spans in order, under `article_id`. Rows scale; a single file doesn't."""
-    span = F.struct("leader", F.struct("text", "category", "subcategory", "confidence", "num_supporters", "label_consistent").alias("s"))
+    fields = [c for c in ("title", "text", "category", "subcategory", "confidence", "num_supporters", "label_consistent") if c in gold.columns]
+    span = F.struct("leader", F.struct(*fields).alias("s"))
     spans = gold.groupBy("article_id").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     return spans.select(F.to_json(F.struct("article_id", F.col("spans.s").alias("spans"))).alias("value"))
 
 
+def gold_object(gold: DataFrame) -> DataFrame:
+    """One row: all articles as one JSON object keyed by article id, for exports that fit one file."""
+    rows = gold_json(gold).select(F.get_json_object("value", "$.article_id").alias("k"), F.get_json_object("value", "$.spans").alias("v"))
+    return rows.agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(F.concat(F.to_json(F.array("k")).substr(F.lit(2), F.length(F.to_json(F.array("k"))) - 2), F.lit(": "), "v"))), ", "), F.lit("}")).alias("value"))
+
+
+def comparison_object(per_title: DataFrame, overall: DataFrame) -> DataFrame:
+    """One row: {overall, per_article} with the article and category scores of each title, rounded to three places."""
+
+    def part():
+        article = F.struct("precision", "recall", "f1", F.col("correct").alias("correct_matches"), "total_llm", "total_gold")
+        category = F.struct(F.col("category_precision").alias("precision"), F.col("category_recall").alias("recall"), F.col("category_f1").alias("f1"), F.col("correct").alias("correct_matches"), F.col("correct").alias("total_matches"))
+        return F.struct(article.alias("article_match"), category.alias("category_match"))
+
+    whole = rounded(overall).agg(F.first(part()).alias("overall")).withColumn("one", F.lit(1))
+    titles = rounded(per_title).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("title", part().alias("s"))))).alias("per_article")).withColumn("one", F.lit(1))
+    return whole.join(titles, "one").select(F.to_json(F.struct("overall", "per_article")).alias("value"))
+
+
 def write_comparison(per_title: DataFrame, overall: DataFrame, path: str) -> None:
     """Scores by title and overall, as JSON rows in two folders."""
     per_title.write.mode("overwrite").json(f"{path}/per_article")

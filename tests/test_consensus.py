@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 
 from glossweave.operators import articles, consensus, evaluate
@@ -91,3 +94,105 @@ def test_pick(spark):
     assert articles.pick(full.where("idx <> 5")).collect() == [(5, 0)]
     assert articles.pick(spark.createDataFrame([], "idx bigint, uses bigint")).count() == 3
     assert articles.available(spark.createDataFrame([(20, 1)], "idx bigint, uses bigint")).count() == 13
+
+
+REPEATS = ["bb aa ee cc ee ff bb", "aa ee cc ee", "ff bb", "ee ff bb", "ff bb", "ee ff bb"]
+
+
+@pytest.mark.parametrize("fold", [consensus.FOLD, 3])
+def test_every_member_is_folded(spark, fold):
+    (r,) = gold(spark, [span(t, worker=str(i)) for i, t in enumerate(REPEATS)], fold=fold)
+    assert (r.num_supporters, r.text) == (6, "ff bb")
+
+
+def test_fold_in_rounds_equals_fold_in_rows(spark):
+    random.seed(1)
+    words = "aa bb cc dd ee ff gg hh".split()
+    rows = []
+    for a in range(25):
+        first = [random.choice(words) for _ in range(9)]
+        rows += [(a, 0, " ".join(first))] + [(a, i, " ".join(first[(j := random.randrange(7)) : j + random.randrange(2, 5)])) for i in range(1, 14)]
+    df = spark.createDataFrame([(a, i, t, "C", "X", "w") for a, i, t in rows], SPANS)
+    key = lambda r: (r.article_id, r.leader)
+    one, other = (sorted(consensus.build_consensus(df, fold=f).collect(), key=key) for f in (1000, 1))
+    assert one == other
+    assert {r.num_supporters > 1 for r in one} == {True, False} or len(one) == 25
+
+
+def leaders(n, pairs):
+    lead, of = set(), {}
+    for b in range(n):
+        mine = [a for a, c in pairs if c == b and a in lead]
+        of[b] = min(mine) if mine else b
+        if not mine:
+            lead.add(b)
+    return of
+
+
+@pytest.mark.parametrize("small", [consensus.SMALL, 0])
+def test_leaders_against_brute_force(spark, small):
+    random.seed(2)
+    pairs = sorted({tuple(sorted(random.sample(range(40), 2))) for _ in range(60)})
+    classes = spark.createDataFrame([(1, i) for i in range(40)], "article_id bigint, ord bigint")
+    got = consensus.leader_clusters(classes, spark.createDataFrame([(1, a, b) for a, b in pairs], "article_id bigint, a bigint, b bigint"), small)
+    assert {r.ord: r.leader for r in got.collect()} == leaders(40, pairs)
+
+
+def test_pairs_against_brute_force(spark):
+    random.seed(3)
+    texts = sorted({" ".join(random.choice("aa bb cc dd ee the of".split()) for _ in range(random.randrange(1, 7))) for _ in range(120)})
+    df = spark.createDataFrame([("x", (i, 0), t) for i, t in enumerate(texts)], "article_id string, ord struct<d: bigint, p: int>, text string")
+    content = [set(t.split()) - {"the", "of"} for t in texts]
+    expected = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (texts[i] in texts[j] or texts[j] in texts[i]) and len(content[i] & content[j]) >= 2}
+    for spread in (consensus.SPREAD, 4):
+        assert {(r.a.d, r.b.d) for r in consensus.matching_pairs(consensus.span_classes(df), spread).collect()} == expected
+    assert len(expected) > 30
+
+
+def test_titles_of_consensus(spark):
+    df = spark.createDataFrame([(1, 0, "slow harbour tide", None), (1, 1, "slow harbour tide", "The Tide"), (1, 2, "other words here", None), (2, 0, "no title here", None)], "article_id bigint, ord bigint, text string, title string")
+    df = df.selectExpr("*", "'C' category", "'X' subcategory", "'w' worker")
+    assert {(r.article_id, r.leader): r.title for r in consensus.build_consensus(df).collect()} == {(1, 0): "The Tide", (1, 2): "The Tide", (2, 0): None}
+
+
+def test_five_thousand_spans_in_one_list(spark):
+    from glossweave.operators.nested import annotation_spans
+
+    rows = spark.range(5000).selectExpr("7L article_id", "'k' submission_key", "cast(null as timestamp) received_at", "cast(id as int) pos", "'k/7' pk", "concat('word', id, ' tide', id) text", "'C' category", "'X' subcategory")
+    out = consensus.build_consensus(annotation_spans(rows.unionByName(rows.where("pos > 4090").selectExpr("article_id", "'kb' submission_key", "received_at", "pos", "'kb/7' pk", "text", "category", "subcategory"))))
+    assert {r.num_supporters: r["count"] for r in out.groupBy("num_supporters").count().collect()} == {1: 4091, 2: 909}
+
+
+@pytest.mark.parametrize("small", [evaluate.SMALL, 0])
+def test_greedy_against_brute_force(spark, small):
+    random.seed(4)
+    make = lambda n: [(random.choice("TU"), " ".join(random.choice("abcdefgh") for _ in range(random.randrange(6))), random.choice("XY")) for _ in range(n)]
+    llm, gold_rows = make(60), make(50)
+    for labelled in (True, False):
+        correct = {}
+        for t in "TU":
+            used, n = set(), 0
+            for u, x, s in llm:
+                hit = next((j for j, (v, y, z) in enumerate(gold_rows) if u == v == t and j not in used and (s == z or not labelled) and len(set(x.split()) & set(y.split())) >= 2), None)
+                if hit is not None:
+                    used.add(hit)
+                    n += 1
+            correct[t] = n
+        got = evaluate.count_matches(*sides(spark, llm, gold_rows), labelled=labelled, small=small)
+        assert {r.title: r.correct for r in got.collect()} == correct
+
+
+def test_titles_in_any_case_and_rounding(spark):
+    llm, gold_rows = sides(spark, [("The Tide", "a b", "X"), ("The Tide", "q", "X"), ("The Tide", "r", "X")], [("the tide!", "a b", "X")])
+    assert evaluate.count_matches(llm, gold_rows).isEmpty()
+    r = evaluate.rounded(evaluate.scores(evaluate.count_matches(llm, gold_rows, normalize_titles=True))).first()
+    assert (r.title, r.correct, r.precision, r.f1) == ("the tide", 1, 0.333, 0.5)
+
+
+def test_assigned(spark):
+    from pyspark.sql import functions as F
+
+    listed = spark.createDataFrame([(0, 1, "A"), (1, 2, None)], "idx bigint, id bigint, title string")
+    picks = spark.createDataFrame([(1,), (9,)], "idx bigint")
+    (r,) = articles.assigned(picks, listed).agg(articles.title_list(F.collect_list(F.struct("id", "title", "idx"))).alias("a")).collect()
+    assert [tuple(x) for x in r.a] == [(2, None)]

@@ -60,3 +60,11 @@ def test_hot_key_join(spark):
     right = left.where("k IS NOT NULL").groupBy("k").count().withColumnRenamed("count", "n")
     assert join_counted(left, right, ["k"], share=0.1).count() == 548
     assert join_counted(left.limit(0), right.limit(0), ["k"]).isEmpty()
+
+
+def test_further_fields_are_kept(spark):
+    payload = {"annotations": {"3": "x"}, "textAnnotations": {"3": [{"text": "a", "colour": [1]}]}, "surveyResponses": {"3": {"bias": 1, "mood": "ok"}}, "articleTitles": [{"id": 3, "url": None}]}
+    t = tagged(spark, json.dumps(payload))
+    rest = {k: json.loads(flat_table(t, k).first().rest) for k in ("submissions", "article_refs", "survey_answers", "annotations")}
+    assert rest == {"submissions": {"annotations": {"3": "x"}}, "article_refs": {"url": None}, "survey_answers": {"mood": "ok"}, "annotations": {"colour": [1]}}
+    assert flat_table(tagged(spark, "{}"), "submissions").first().rest is None
