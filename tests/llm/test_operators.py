@@ -406,10 +406,10 @@ def test_spam(spark):
     chant = prose[0] + "\n\n" + "\n".join(["“No more tax!”"] * 5) + "\n\n" + prose[1]
     texts = [*prose, *links, chant, None, "", "one"]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, n_words int")
-    scores = spam.score_pages(df, blocks=3)
+    scores = spam.score_pages(df.repartition(3, "doc_id").sortWithinPartitions("doc_id"), block_bytes=2000)
     assert {r.doc_id for r in spam.spam_pages(scores).collect()} == set(range(60, 66))
     assert scores.count() == len(texts)
-    again = spam.score_pages(df, blocks=1)
+    again = spam.score_pages(df.coalesce(1), shards=1)
     assert [tuple(round(v, 9) for v in r) for r in rows(again)] == [tuple(round(v, 9) for v in r) for r in rows(scores)]
     assert spam.score_pages(df.limit(0)).isEmpty()
 
@@ -424,7 +424,7 @@ def test_measures_against_brute_force(spark):
     one = Counter(w for t in own for w in t)
     two = Counter(p for t in own for p in itertools.pairwise(t))
     docs = Counter(p for t in own for p in set(itertools.pairwise(t)))
-    for r in spam.score_pages(df, blocks=2).collect():
+    for r in spam.score_pages(df, block_bytes=6, shards=3).collect():
         pairs = list(itertools.pairwise(own[r.doc_id]))
         pmi = [log(two[p] / two.total()) - log(one[p[0]] / one.total()) - log(one[p[1]] / one.total()) for p in pairs]
         assert abs(r.mean_pmi - sum(pmi) / len(pairs)) < 1e-9
