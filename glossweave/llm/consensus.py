@@ -19,7 +19,8 @@ SAMPLE = 20_000
 FEATURES, PENALTY, STEPS = 256, 0.05, 30
 #: Labels that an annotator's matrix is worth before any evidence: it is drawn to a single accuracy, and that to START.
 SHRINK, START, START_WORTH = 15.0, 0.6, 4.0
-ROUNDS = 6
+#: Most rounds, and the change of the mean log likelihood of an item below which they end.
+ROUNDS, TOLERANCE = 10, 0.003
 
 
 def _vector(n: int, prefix: str = "p") -> list[str]:
@@ -65,93 +66,130 @@ def fit_classifier(x: np.ndarray, p: np.ndarray, weights: np.ndarray) -> np.ndar
     return weights
 
 
-def _matrices(k: int):
-    """For one annotator, log P(label | true class) of each label given, from soft counts."""
+def _matrices(k: int, parent: np.ndarray):
+    """For each annotator, log P(label | true class) of each label given, from soft counts; `parent` has each class's category.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros((k, k))  # true class, label
-        counts[:, group["y"].to_numpy(int)] = group[_vector(k)].to_numpy(float).T
-        total = counts.sum()
-        accuracy = (np.trace(counts) + START * START_WORTH) / (total + START_WORTH)
-        habit = (counts.sum(axis=0) + 0.5) / (total + 0.5 * k)
-        base = accuracy * np.eye(k) + (1 - accuracy) * habit[None, :]
-        matrix = (counts + SHRINK * base) / (counts.sum(axis=1, keepdims=True) + SHRINK * base.sum(axis=1, keepdims=True))
-        out = pd.DataFrame(np.log(np.maximum(matrix, 1e-6)).T[group["y"].to_numpy(int)], columns=_vector(k, "m"))
+    A label k + c says the category c alone: its probability is that of all the category's classes.
+    Rows come in order of annotators, each with as many rows as different labels at most; the last one of a batch may go on in the next.
+    """
+
+    def done(group: pd.DataFrame) -> pd.DataFrame:
+        workers, w = np.unique(group["worker"].to_numpy(str), return_inverse=True)
+        y, p = group["y"].to_numpy(int), group[_vector(k)].to_numpy(float)
+        own = y < k
+        counts = np.zeros((len(workers), k, k))  # annotator, true class, label
+        counts[w[own], :, y[own]] = p[own]
+        total = counts.sum(axis=(1, 2))
+        accuracy = (np.trace(counts, axis1=1, axis2=2) + START * START_WORTH) / (total + START_WORTH)
+        habit = (counts.sum(axis=1) + 0.5) / (total + 0.5 * k)[:, None]
+        base = accuracy[:, None, None] * np.eye(k) + (1 - accuracy)[:, None, None] * habit[:, None, :]
+        matrix = (counts + SHRINK * base) / (counts.sum(axis=2, keepdims=True) + SHRINK * base.sum(axis=2, keepdims=True))
+        chance = np.zeros((len(y), k))
+        chance[own] = matrix[w[own], :, y[own]]
+        for i in np.flatnonzero(~own):
+            chance[i] = matrix[w[i]][:, parent == y[i] - k].sum(axis=1)
+        out = pd.DataFrame(np.log(np.maximum(chance, 1e-6)), columns=_vector(k, "m"))
         out.insert(0, "worker", group["worker"].to_numpy())
-        out.insert(1, "y", group["y"].to_numpy())
+        out.insert(1, "y", y)
         out["n"] = group["n"].to_numpy()
-        out["accuracy"] = accuracy
+        out["accuracy"] = accuracy[w]
         return out
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            last = (b["worker"] == b["worker"].iloc[-1]).to_numpy() if len(b) else np.zeros(0, bool)
+            held = b[last]
+            if len(b) and not last.all():
+                yield done(b[~last])
+        if held is not None and len(held):
+            yield done(held)
+
     return run
 
 
-def clean_labels(labels: DataFrame, classes: DataFrame) -> DataFrame:
+def clean_labels(labels: DataFrame, classes: DataFrame, categories: DataFrame, k: int) -> DataFrame:
     """(gold_id, worker, y): the last label of each annotator for each item, older names mapped to their class.
 
-    Null items and annotators, and names that no entry has, are left out; of labels given at the same
-    time the one with the largest label_id counts.
+    A label whose subcategory no entry has, but whose category one has, counts as the category alone, y = k + its
+    number. Null items and annotators, and labels without any known name, are left out; of labels given at the
+    same time the one with the largest label_id counts.
     """
-    last = labels.where(F.col("gold_id").isNotNull() & F.col("worker").isNotNull()).groupBy("gold_id", "worker").agg(F.max_by("subcategory", F.struct("labelled_at", "label_id")).alias("label"))
-    return last.withColumn("name", F.lower(F.trim("label"))).join(F.broadcast(classes.select("name", "y")), "name").select("gold_id", "worker", "y")
+    last = labels.where(F.col("gold_id").isNotNull() & F.col("worker").isNotNull()).groupBy("gold_id", "worker").agg(F.max_by(F.struct("subcategory", "category"), F.struct("labelled_at", "label_id")).alias("label"))
+    named = last.withColumn("name", F.lower(F.trim("label.subcategory"))).join(F.broadcast(classes.select("name", "y")), "name", "left")
+    wider = named.withColumn("category", F.lower(F.trim("label.category"))).join(F.broadcast(categories.select(F.col("name").alias("category"), (F.col("y") + k).alias("c"))), "category", "left")
+    return wider.select("gold_id", "worker", F.coalesce("y", "c").cast("int").alias("y")).where("y IS NOT NULL")
 
 
 def annotate(labels: DataFrame, items: DataFrame, reference: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(consensus, annotators).
 
-    consensus: gold_id, ref_id, parent_ref_id, confidence (of the class), agreement (share of equal pairs
-    among an item's labels; null for one label), n_labels. annotators: worker, n_labels, reliability.
+    consensus: gold_id, ref_id, category_ref_id (of the most likely class and of the most likely category, which sums
+    its classes), confidence, category_confidence, agreement (share of equal pairs among an item's labels; null for
+    fewer than two), n_labels. annotators: worker, n_labels, reliability.
 
     The true class of an item has as its prior the output of a classifier on the words of its text and
     title; labels have a confusion matrix for each annotator. Rounds of expectation (items, over all
     labels) and maximisation (matrices over all labels, the classifier on SAMPLE items) follow one
-    another. Each round shuffles the labels by item and soft counts by annotator and label, the latter
-    after partial sums; an annotator with very many labels meets a broadcast of bounded size. The
-    number of classes is bounded by the reference list. Items without usable labels are left out.
+    another until the mean log likelihood of all items settles. Each round shuffles the labels by item and soft counts
+    by annotator and label, the latter after partial sums; an annotator with very many labels meets a broadcast of
+    bounded size. The number of classes is bounded by the reference list. Items without usable labels are left out.
     """
     spark = labels.sparkSession
-    classes = label_classes(reference).cache()
-    by_class = classes.groupBy("y").agg(F.first("ref_id").alias("ref_id"), F.first("parent_ref_id").alias("parent_ref_id"))
-    k = by_class.count()
+    classes, categories = label_classes(reference), label_classes(reference, "category")
+    entries = sorted({(r.y, r.ref_id, r.parent_ref_id) for r in classes.select("y", "ref_id", "parent_ref_id").collect()})
+    groups = {r.ref_id: r.y for r in categories.select("y", "ref_id").collect()}  # both bounded by the reference list
+    k = len(entries)
     if not k:
         raise ValueError("the reference list has no entries of this kind")
-    given = cut(clean_labels(labels, classes))
-    counted = given.groupBy("worker", "y").agg(F.count("*").alias("n"))
+    parent = np.array([groups.get(p, -1) for _, _, p in entries])
+    given = cut(clean_labels(labels, classes, categories, k))
     words = items.where(F.col("gold_id").isNotNull()).groupBy("gold_id").agg(F.min(F.struct("text", "title")).alias("i")).select("gold_id", _features(F.col("i.text"), F.col("i.title")).alias("buckets"))
-    known = cut(given.groupBy("gold_id").agg(*[F.sum((F.col("y") == c).cast("double")).alias(f"p{c}") for c in range(k)], F.count("*").alias("n_labels")).join(words, "gold_id", "left"))
-    share = [F.col(f"p{c}") / F.col("n_labels") for c in range(k)]
-    posts = known.select("gold_id", *[s.alias(f"p{c}") for c, s in enumerate(share)])
+    counts = [F.sum((F.col("y") == c).cast("int")).alias(f"s{c}") for c in range(k)] + [F.sum((F.col("y") == k + c).cast("int")).alias(f"g{c}") for c in sorted(groups.values())]
+    known = cut(given.groupBy("gold_id").agg(*counts, F.count("*").alias("n_labels")).join(words, "gold_id", "left"))
+    wide = {c: F.col(f"g{c}") / int((parent == c).sum()) for c in groups.values() if (parent == c).any()}
+    posts = known.select("gold_id", *[((F.col(f"s{c}") + wide.get(int(parent[c]), F.lit(0))) / F.col("n_labels")).alias(f"p{c}") for c in range(k)])
     sample = known.orderBy(F.xxhash64("gold_id"), "gold_id").limit(SAMPLE).select("gold_id", "buckets").collect()
     place = {r.gold_id: i for i, r in enumerate(sample)}
     x = _design([r.buckets for r in sample])
     chosen = F.broadcast(spark.createDataFrame([(i,) for i in place], "gold_id bigint"))  # at most SAMPLE ids
     weights = np.zeros((FEATURES + 1, k))
-    params = None
+    params, before = None, -np.inf
     for _ in range(rounds):
         p = np.zeros((len(sample), k))
-        for r in posts.join(chosen, "gold_id").collect():
+        for r in posts.join(chosen, "gold_id").select("gold_id", *_vector(k)).collect():
             p[place[r.gold_id]] = r[1:]
         weights = fit_classifier(x, p, weights)
         soft = given.join(posts, "gold_id").groupBy("worker", "y").agg(*[F.sum(f"p{c}").alias(f"p{c}") for c in range(k)], F.count("*").alias("n"))
         schema = "worker string, y int, " + ", ".join(f"{m} double" for m in _vector(k, "m")) + ", n bigint, accuracy double"
-        params = cut(soft.groupBy("worker").applyInPandas(_matrices(k), schema))
+        params = cut(soft.repartition("worker").sortWithinPartitions("worker").mapInPandas(_matrices(k, parent), schema))
         evidence = join_counted(given, params, ["worker", "y"]).groupBy("gold_id").agg(*[F.sum(f"m{c}").alias(f"m{c}") for c in range(k)])
         shared = spark.sparkContext.broadcast(weights)
 
         def expect(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for b in batches:
-                prior = np.log(_softmax(_design(b["buckets"]) @ shared.value) + 1e-9)
-                out = pd.DataFrame(_softmax(b[_vector(k, "m")].to_numpy(float) + prior), columns=_vector(k))
+                joint = b[_vector(k, "m")].to_numpy(float) + np.log(_softmax(_design(b["buckets"]) @ shared.value) + 1e-9)
+                out = pd.DataFrame(_softmax(joint), columns=_vector(k))
                 out.insert(0, "gold_id", b["gold_id"].to_numpy())
+                out["likelihood"] = np.logaddexp.reduce(joint, axis=1) if len(b) else np.zeros(0)
                 yield out
 
-        posts = cut(evidence.join(known.select("gold_id", "buckets"), "gold_id").mapInPandas(expect, "gold_id bigint, " + ", ".join(f"{v} double" for v in _vector(k))))
-    best = F.array_max(F.array(*[F.struct(F.col(f"p{c}").alias("p"), F.lit(-c).alias("c")) for c in range(k)]))
-    agreement = sum((F.col(f"p{c}") * (F.col(f"p{c}") - 1) for c in range(1, k)), F.col("p0") * (F.col("p0") - 1)) / (F.col("n_labels") * (F.col("n_labels") - 1))
-    settled = posts.select("gold_id", best.alias("b")).select("gold_id", (-F.col("b.c")).alias("y"), F.col("b.p").alias("confidence")).join(F.broadcast(by_class), "y")
-    consensus = settled.join(known.select("gold_id", "n_labels", F.when(F.col("n_labels") > 1, agreement).alias("agreement")), "gold_id").select("gold_id", "ref_id", "parent_ref_id", "confidence", "agreement", "n_labels")
-    annotators = params.groupBy("worker").agg(F.sum("n").alias("n_labels"), F.max("accuracy").alias("reliability")) if params is not None else counted.groupBy("worker").agg(F.sum("n").alias("n_labels"), F.lit(START).alias("reliability"))
-    return consensus, annotators
+        posts = cut(evidence.join(known.select("gold_id", "buckets"), "gold_id").mapInPandas(expect, "gold_id bigint, " + ", ".join(f"{v} double" for v in _vector(k)) + ", likelihood double"))
+        now = posts.agg(F.avg("likelihood")).first()[0]
+        if now is None or abs(now - before) < TOLERANCE:
+            break
+        before = now
+    best = F.array_max(F.array(*[F.struct(F.col(f"p{c}").alias("p"), F.lit(-c).alias("c"), F.lit(entries[c][1]).alias("ref_id")) for c in range(k)]))
+    of_category = [(r, sum((F.col(f"p{c}") for c in np.flatnonzero(parent == g).tolist()), F.lit(0.0))) for r, g in sorted(groups.items()) if (parent == g).any()]
+    likeliest = F.array_max(F.array(*[F.struct(p.alias("p"), F.lit(-r).alias("ref_id")) for r, p in of_category])) if of_category else F.struct(F.lit(None).cast("double").alias("p"), F.lit(None).cast("int").alias("ref_id"))
+    n = sum((F.col(f"s{c}") for c in range(1, k)), F.col("s0"))
+    agreement = sum((F.col(f"s{c}") * (F.col(f"s{c}") - 1) for c in range(1, k)), F.col("s0") * (F.col("s0") - 1)) / (n * (n - 1))
+    settled = posts.select("gold_id", best.alias("b"), likeliest.alias("g")).select("gold_id", "b.ref_id", (-F.col("g.ref_id")).alias("category_ref_id"), F.col("b.p").alias("confidence"), F.col("g.p").alias("category_confidence"))
+    consensus = settled.join(known.select("gold_id", "n_labels", F.when(n > 1, agreement).alias("agreement")), "gold_id").select("gold_id", "ref_id", "category_ref_id", "confidence", "category_confidence", "agreement", "n_labels")
+    if params is None:
+        return consensus, given.groupBy("worker").agg(F.count("*").alias("n_labels"), F.lit(START).alias("reliability"))
+    return consensus, params.groupBy("worker").agg(F.sum("n").alias("n_labels"), F.max("accuracy").alias("reliability"))
 
 
 def _annotated(spark, d):
@@ -165,7 +203,7 @@ def p4_found(spark, d):
 
 def p4_consensus(spark, d):
     """Category, subcategory, confidence and agreement of every labelled span."""
-    return _annotated(spark, d)[0].withColumnRenamed("parent_ref_id", "category_ref_id")
+    return _annotated(spark, d)[0]
 
 
 def p4_annotators(spark, d):

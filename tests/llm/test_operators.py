@@ -243,20 +243,43 @@ def test_consensus_beats_majority(spark):
             y = truth[item] if w[0] == "g" and random.random() < 0.9 else 0 if w[0] == "b" and random.random() < 0.5 else random.randrange(5)
             n += 1
             labels.append((n, item, 1, w, "C", f"old {y}" if n % 9 == 0 else f"Label {y}", n))
-    labels += [(10**6, None, 1, "g0", "C", "Label 1", 1), (10**6 + 1, 0, 1, None, "C", "Label 1", 1), (10**6 + 2, 5000, 1, "g0", None, "unknown", 1)]
+    labels += [(10**6, None, 1, "g0", "C", "Label 1", 1), (10**6 + 1, 0, 1, None, "C", "Label 1", 1), (10**6 + 2, 5000, 1, "g0", None, "unknown", 1), (10**6 + 3, 6000, 1, "g0", "c ", "unknown", 1)]
     df = spark.createDataFrame(labels, "label_id bigint, gold_id bigint, article_id bigint, worker string, category string, subcategory string, labelled_at bigint")
     items = spark.createDataFrame([(i, None if i % 3 else "a text", None, 5) for i in range(290)], "gold_id bigint, text string, title string, y int")
     result, workers = consensus.annotate(df, items, ref, rounds=4)
     got = {r.gold_id: r for r in result.collect()}
     assert sum(got[i].ref_id == 101 + y for i, y in truth.items()) > 0.9 * 300
-    assert set(got) == set(truth)
-    assert all(r.parent_ref_id == 1 and 0 <= r.agreement <= 1 for r in got.values())
+    assert set(got) == {*truth, 6000}
+    assert (got[6000].category_ref_id, got[6000].agreement, got[6000].n_labels) == (1, None, 1)
+    assert all(got[i].category_ref_id == 1 and 0 <= got[i].agreement <= 1 and got[i].category_confidence >= got[i].confidence for i in truth)
     rel = {r.worker: r.reliability for r in workers.collect()}
     assert min(rel[w] for w in good) > max(rel[w] for w in bad)
     nothing, _ = consensus.annotate(df.limit(0), items.limit(0), ref, rounds=1)
     assert nothing.isEmpty()
 
 
+def test_matrices_against_one_annotator_at_a_time():
+    rng = np.random.default_rng(5)
+    import pandas as pd
+
+    k, parent = 3, np.array([0, 0, 1])
+    rows = [(w, y, *rng.random(k), 1) for w in ("a", "b", "c") for y in (0, 2, 3)]
+    df = pd.DataFrame(rows, columns=["worker", "y", "p0", "p1", "p2", "n"])
+    whole = pd.concat(consensus._matrices(k, parent)(iter([df[:4], df[4:5], df[5:]])), ignore_index=True)
+    for w, group in df.groupby("worker"):
+        counts = np.zeros((k, k))
+        for r in group[group["y"] < k].itertuples():
+            counts[:, r.y] += [r.p0, r.p1, r.p2]
+        accuracy = (np.trace(counts) + consensus.START * consensus.START_WORTH) / (counts.sum() + consensus.START_WORTH)
+        habit = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * k)
+        base = accuracy * np.eye(k) + (1 - accuracy) * habit[None, :]
+        matrix = (counts + consensus.SHRINK * base) / (counts.sum(axis=1, keepdims=True) + consensus.SHRINK)
+        mine = whole[whole["worker"] == w].set_index("y")
+        assert np.allclose(mine.loc[0, ["m0", "m1", "m2"]].astype(float), np.log(matrix[:, 0]))
+        assert np.allclose(mine.loc[3, ["m0", "m1", "m2"]].astype(float), np.log(matrix[:, 0] + matrix[:, 1]))
+        assert np.allclose(mine["accuracy"], accuracy)
+
+
 # 5 ------------------------------------------------------------------------------------------------
 
 CLEAN = ["Café owners in Montréal protest", "The naïve résumé of a protégé", "Fußgänger überqueren die Brücke", "“Quoted words” — and £5 for Zoë’s hat", "Комиссия обсудили новый мост сегодня"]
