@@ -8,11 +8,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache, reduce
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossweave.session import cut
+
 # Encodings that a text can have been written in, and others that it can have been read in.
 WRITTEN = ("utf-8", "cp1252", "cp1251", "koi8-r", "mac_roman", "cp1250")
 READ = ("cp1252", "mac_roman", "cp1251", "gbk", "cp850", "cp437", "cp1250", "latin-1", "iso8859-2", "koi8-r", "cp866")
@@ -23,6 +26,10 @@ CONTEXT = 8
 SUPPORT = 3
 #: Records in which a character or a pair of neighbours must occur to count as usual.
 USUAL = 3
+#: Most characters of a garbled sequence that is learned from aligned runs.
+SEQUENCE = 4
+#: Votes that a learned sequence needs, as a share of the records with its rarest character: one in use as a letter has few.
+VOTED = 0.3
 #: Gain in log likelihood of neighbouring characters, a character, from which a text in one-byte encodings counts as misread.
 GAIN = 1.5
 
@@ -64,6 +71,13 @@ def misread(text: str, written: str, read: str) -> str | None:
     return "".join(chr(b) if b < 0x80 else _shown(read)[b] for b in raw)
 
 
+@cache
+def _alphabet() -> frozenset[str]:
+    """Characters of the one-byte encodings in lower case: neighbours are counted among these and ASCII only, so their number is bounded."""
+    one_byte = {e for e in (*WRITTEN, *READ) if e not in ("utf-8", "gbk")}
+    return frozenset(c.lower() for e in one_byte for c in _shown(e).values() if len(c.lower()) == 1)
+
+
 def _is_letter_of(c: str, low: int, high: int) -> bool:
     return low <= ord(c) <= high
 
@@ -75,14 +89,18 @@ def _cyrillic(c: str) -> bool:
 class Model:
     """Usual characters and neighbours of the corpus, and the transformations in use."""
 
-    def __init__(self, counts: dict[str, int], chains: list[tuple[str, str]]):
+    def __init__(self, counts: dict[str, int], chains: list[tuple[str, str]], learned: dict[str, str] | None = None):
         self.counts = counts
+        self.learned = learned or {}
         self.usual = {c for c, n in counts.items() if len(c) == 1 and n >= USUAL and not 0x80 <= ord(c) < 0xA0}
         self.total = sum(n for c, n in counts.items() if len(c) == 2) + 1
         self.chains = chains
 
     def _likelihood(self, text: str) -> tuple[float, int]:
-        pairs = [a + b for a, b in itertools.pairwise(f" {text.lower()} ") if ord(a) > 127 or ord(b) > 127]
+        return self._likelihood_of(f" {text} ")
+
+    def _likelihood_of(self, text: str) -> tuple[float, int]:
+        pairs = [a + b for a, b in itertools.pairwise(text.lower()) if ord(a) > 127 or ord(b) > 127]
         return sum(math.log((self.counts.get(p, 0) + 0.1) / self.total) for p in pairs), len(pairs)
 
     def _undo_utf8(self, text: str, read: str) -> tuple[str, int]:
@@ -167,6 +185,35 @@ class Model:
         (a, n), (b, m) = self._likelihood(text), self._likelihood(new)
         return new if n and m and b / m - a / n > GAIN else None
 
+    def _undo_learned(self, text: str) -> tuple[str, int]:
+        """(text with runs rewritten by learned sequences where that makes them far more usual, number of these runs)."""
+        out, done, i = [], 0, 0
+        while i < len(text):
+            if text[i].isascii():
+                out.append(text[i])
+                i += 1
+                continue
+            j = i
+            while j < len(text) and not text[j].isascii():
+                j += 1
+            new, k = [], i
+            while k < j:
+                n = next((n for n in range(min(SEQUENCE, j - k), 0, -1) if text[k : k + n] in self.learned or text[k : k + n].lower() in self.learned), 0)
+                seq = text[k : k + n] or text[k]
+                new.append(self.learned.get(seq) or self.learned.get(seq.lower()) or seq)
+                k += max(n, 1)
+            run, before, after = "".join(new), text[i - 1 : i] or " ", text[j : j + 1] or " "
+            if run != text[i:j]:
+                (a, n), (b, m) = self._likelihood_of(before + text[i:j] + after), self._likelihood_of(before + run + after)
+                if n and m and b / m - a / n > GAIN:
+                    done += 1
+                    out.append(run)
+                    i = j
+                    continue
+            out.append(text[i:j])
+            i = j
+        return "".join(out), done
+
     def repair(self, text: str) -> tuple[str, bool]:
         """(restored text, whether it was damaged). Characters lost for good stay U+FFFD."""
         damaged = "�" in text
@@ -184,13 +231,16 @@ class Model:
             for written, read in self.chains:
                 if written != "utf-8" and (new := self._undo_whole(text, written, read)) is not None:
                     return new, True
+            new, n = self._undo_learned(text)
+            if n:
+                return new, True
         return text, damaged
 
 
 def runs(text: str) -> list[tuple[str, str]]:
     """(context, run) of each run of non-ASCII characters.
 
-    A context is the ASCII letters and digits around the run; and all those of the text, with the run's
+    A context is the ASCII letters and digits around the run; and a hash of all those of the text, with the run's
     number, which also holds for texts with hardly any.
     """
     bare = "".join(c.lower() for c in text if c.isascii() and c.isalnum())
@@ -206,7 +256,25 @@ def runs(text: str) -> list[tuple[str, str]]:
         out.append((k, text[i:j]))
         i = j
     near = [(f"{bare[k - CONTEXT : k]}|{bare[k : k + CONTEXT]}", r) for k, r in out if k >= CONTEXT and len(bare) - k >= CONTEXT]
-    return near + [(f"{bare}#{n}/{len(out)}", r) for n, (_, r) in enumerate(out) if bare]
+    whole = blake2b(bare.encode(), digest_size=12).hexdigest()
+    return near + [(f"{whole}#{n}/{len(out)}", r) for n, (_, r) in enumerate(out) if bare]
+
+
+def align(garbled: str, clean: str) -> list[tuple[str, str]]:
+    """(sequence, character) pairs of two runs, character by character; none where it isn't certain which belong together.
+
+    Equal characters at either end belong together; what is left between them does if it is one clean
+    character, or as many characters on either side.
+    """
+    i, j = 0, 0
+    while i < min(len(garbled), len(clean)) and garbled[i] == clean[i]:
+        i += 1
+    while j < min(len(garbled), len(clean)) - i and garbled[-1 - j] == clean[-1 - j]:
+        j += 1
+    g, c = garbled[i : len(garbled) - j], clean[i : len(clean) - j]
+    if len(g) == len(c):
+        return [(x, y) for x, y in zip(g, c, strict=True) if x != y]
+    return [(g, c)] if len(c) == 1 and 0 < len(g) <= SEQUENCE else []
 
 
 def explain(garbled: str, clean: str) -> tuple[str, str] | None:
@@ -222,7 +290,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         seen: Counter = Counter()
         for t in b["value"]:
-            seen.update({c for c in t if ord(c) > 127} | {c.lower() for c in t if ord(c) > 127} | {p for p in map("".join, itertools.pairwise(f" {t.lower()} ")) if not p.isascii()})
+            seen.update({c for c in t if ord(c) > 127} | {c.lower() for c in t if ord(c) > 127} | {p for p in map("".join, itertools.pairwise(f" {t.lower()} ")) if not p.isascii() and all(c.isascii() or c in _alphabet() for c in p)})
         yield pd.DataFrame({"c": list(seen.keys()), "n": list(seen.values())}, columns=["c", "n"])
 
 
@@ -236,9 +304,11 @@ def learn(values: DataFrame) -> Model:
     """The model of a column `value` without nulls.
 
     Runs of non-ASCII characters meet in the same context of ASCII letters; the run of the most usual
-    characters is the clean one, and each other run votes for the transformation that makes it from the
-    clean one. What comes to the driver are counts of characters and neighbours (bounded by the scripts
-    in use, and by USUAL) and of transformations (bounded by WRITTEN x READ).
+    characters is the clean one, and each other run votes for the encodings that make it from the clean one,
+    and, aligned with it character by character, for the sequences that stand for single characters. Sequences need no
+    encoding that is known. What comes to the driver are counts of characters (bounded by Unicode) and of neighbours
+    (bounded by the square of the one-byte encodings' letters), of encodings (WRITTEN x READ), and the sequences
+    of up to SEQUENCE characters with votes from SUPPORT contexts (for each clean letter in use a few).
     """
     odd = values.where("value RLIKE '[^\\\\x00-\\\\x7f]'").select("value")
     counts = {r.c: r.n for r in odd.mapInPandas(_counted, "c string, n bigint").groupBy("c").agg(F.sum("n").alias("n")).where(F.col("n") >= USUAL).toLocalIterator()}
@@ -254,12 +324,20 @@ def learn(values: DataFrame) -> Model:
 
     def explained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            votes = Counter(e for u, v in zip(b["run"], b["clean"], strict=True) if u.lower() != v.lower() and (e := explain(u, v)))
-            yield pd.DataFrame([(w, r, n) for (w, r), n in votes.items()], columns=["written", "read", "n"])
-
-    votes = found.join(clean, "context").where("run <> clean").select("run", "clean").mapInPandas(explained, "written string, read string, n bigint")
-    chains = [(r.written, r.read) for r in votes.groupBy("written", "read").agg(F.sum("n").alias("n")).where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "written", "read").collect()]
-    return Model(counts, chains)
+            votes: Counter = Counter()
+            for u, v in zip(b["run"], b["clean"], strict=True):
+                if u.lower() != v.lower():
+                    if e := explain(u, v):
+                        votes["encoding", *e] += 1
+                    votes.update({("sequence", x, y) for x, y in (*align(u, v), *align(u.lower(), v.lower()))})
+            yield pd.DataFrame([(*k, n) for k, n in votes.items()], columns=["kind", "a", "b", "n"])
+
+    votes = found.join(clean, "context").where("run <> clean").select("run", "clean").mapInPandas(explained, "kind string, a string, b string, n bigint")
+    enough = cut(votes.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SUPPORT))
+    chains = [(r.a, r.b) for r in enough.where("kind = 'encoding'").orderBy(F.desc("n"), "a", "b").collect()]
+    best = enough.where("kind = 'sequence'").groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"), F.max("n").alias("n"))
+    learned = {r.a: r.b for r in best.toLocalIterator() if r.n >= VOTED * min(counts.get(c, 0) for c in r.a)}
+    return Model(counts, chains, learned)
 
 
 def repair_values(values: DataFrame, model: Model) -> DataFrame:

@@ -294,6 +294,31 @@ def test_mojibake(spark, written, read):
     assert found == {100 + i: CLEAN[i % 5] for i in range(15)}
 
 
+def test_alignment():
+    assert mojibake.align("Ã©", "é") == [("Ã©", "é")]
+    assert mojibake.align("¸—", "ü—") == [("¸", "ü")]
+    assert mojibake.align("xyz", "äö") == []
+    assert mojibake.align("qx", "äö") == [("q", "ä"), ("x", "ö")]
+
+
+def test_an_unlisted_encoding_is_learned(spark):
+    """Letters exchanged as no listed pair of encodings does it, learned from twins and undone in a text without one."""
+    made = str.maketrans("éèüñ", "¤¥¦ø")
+    clean = ["le caf¤ du village".replace("¤", "é") + f" reste ouvert {i}" for i in range(9)] + [f"la r{c}gle vaut pour {i} villes" for i, c in enumerate("è" * 9)] + [f"die k{c}hle stadt {i} wartet" for i, c in enumerate("ü" * 9)]
+    garbled = [t.translate(made) for t in clean]
+    lone = [t.translate(made) for t in ("un autre café ferme", "une règle de plus", "ein kühles bier")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*clean * 9, *garbled[:5], *garbled[9:14], *garbled[18:23], *lone])], "id int, value string")
+    model = mojibake.learn(df.select("value"))
+    assert {model.learned.get(c) for c in "¤¥¦"} == set("éèü")
+    found = {r.id: r.restored for r in mojibake.repair_values(df, model).collect()}
+    assert [found.get(243 + 15 + i) for i in range(3)] == ["un autre café ferme", "une règle de plus", "ein kühles bier"]
+    assert not any(i < 243 for i in found)
+
+
+def test_contexts_stay_small():
+    assert sum(len(k) for k, _ in mojibake.runs("é une ligne " * 1000)) < 60 * 2000
+
+
 def test_mojibake_edges(spark):
     df = spark.createDataFrame([], "value string")
     model = mojibake.learn(df)
