@@ -5,21 +5,20 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import cache, reduce
-from itertools import accumulate
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A public tokenizer's ranks; a parameter of every operator here.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Most length buckets of a packing; with as many buckets as lengths nothing is padded.
 BUCKETS = 1024
-#: Groups that number the pieces of one length, so that no task holds all pieces of a length.
-SPREAD = 64
+#: Pieces of one length that are numbered together; more are spread over several groups.
+GROUP = 20_000
 
 
 @cache
@@ -47,41 +46,43 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def optimal_buckets(histogram: dict[int, int], most: int) -> list[int]:
     """Upper bounds of at most `most` length buckets with the least padding, that is the least sum of bound - length.
 
-    Dynamic programming over the distinct lengths; for each number of buckets the best split of every
-    prefix lies on the lower envelope of lines, so one pass over the lengths suffices.
+    Dynamic programming over the distinct lengths. The best last split of a prefix never moves left as the prefix
+    grows, so each layer halves its steps: between two known splits only the lengths between them are tried.
     """
-    lengths = sorted(n for n in histogram if histogram[n] > 0)
-    if len(lengths) <= most:
-        return lengths
-    number = [0, *accumulate(histogram[n] for n in lengths)]
-    volume = [0, *accumulate(n * histogram[n] for n in lengths)]
+    lengths = np.array(sorted(n for n in histogram if histogram[n] > 0), np.int64)
     m = len(lengths)
-    cost = [0.0] + [lengths[j - 1] * number[j] - volume[j] for j in range(1, m + 1)]  # one bucket
-    back = [[0] * (m + 1)]
-    for _ in range(most - 1):
-        new, origin = [0.0] * (m + 1), [0] * (m + 1)
-        hull: list[tuple[int, float, int]] = []  # slope -number[i], intercept cost[i] + volume[i], i
-        best = 0
-        for j in range(1, m + 1):
-            i = j - 1
-            s, c = -number[i], cost[i] + volume[i]
-            while len(hull) >= 2 and (hull[-1][1] - hull[-2][1]) * (hull[-1][0] - s) >= (c - hull[-1][1]) * (hull[-2][0] - hull[-1][0]):
-                hull.pop()
-            hull.append((s, c, i))
-            best = min(best, len(hull) - 1)
-            x = lengths[j - 1]
-            while best + 1 < len(hull) and hull[best + 1][0] * x + hull[best + 1][1] <= hull[best][0] * x + hull[best][1]:
-                best += 1
-            new[j] = hull[best][0] * x + hull[best][1] + x * number[j] - volume[j]
-            origin[j] = hull[best][2]
+    if m <= most:
+        return lengths.tolist()
+    counts = np.array([histogram[n] for n in lengths.tolist()], np.int64)
+    number, volume = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * lengths)])
+    cost = np.concatenate([[0], lengths * number[1:] - volume[1:]])  # one bucket
+    back = np.zeros((most, m + 1), np.int32)
+    for layer in range(1, most):
+        new, split = np.zeros(m + 1, np.int64), back[layer]
+        step = 1 << m.bit_length()
+        while step > 1:
+            half = step >> 1
+            j = np.arange(half, m + 1, step)
+            low = split[j - half]
+            right = j + half
+            high = np.minimum(j - 1, np.where(right <= m, split[np.minimum(right, m)], m - 1))
+            size = high - low + 1
+            start = np.concatenate([[0], np.cumsum(size)[:-1]])
+            i = np.arange(int(size.sum())) - np.repeat(start - low, size)
+            x = np.repeat(lengths[j - 1], size)
+            value = cost[i] - x * number[i] + volume[i]
+            least = np.minimum.reduceat(value, start)
+            hits = np.flatnonzero(value == np.repeat(least, size))
+            split[j] = i[hits[np.searchsorted(hits, start)]]
+            new[j] = least + lengths[j - 1] * number[j] - volume[j]
+            step = half
         cost = new
-        back.append(origin)
     bounds, j = [], m
-    for origin in reversed(back):
+    for origin in back[::-1]:
         if j == 0:
             break
-        bounds.append(lengths[j - 1])
-        j = origin[j]
+        bounds.append(int(lengths[j - 1]))
+        j = int(origin[j])
     return bounds[::-1]
 
 
@@ -114,55 +115,48 @@ def pack(sizes: DataFrame, capacity: int, buckets: int = BUCKETS, mix: bool = Tr
     """(doc_id, piece, start, n_tokens, unit_id): every document in units of at most `capacity` tokens.
 
     `sizes` has doc_id and n_tokens. A document larger than the capacity is cut into full units and a
-    rest; any other stays whole. Documents without tokens get no unit. Only the histogram of lengths
-    (at most `capacity` counts) and the patterns come to the driver; pieces are numbered within their
-    length in SPREAD groups each, so even one length for all documents makes no hot task.
+    rest; any other stays whole. Documents without tokens get no unit. Only the histogram of lengths (at most
+    `capacity` counts) and the patterns come to the driver; pieces are numbered within their length in groups of about
+    GROUP, so even one length for all documents makes no hot task.
     """
     spark = sizes.sparkSession
     cut_up = sizes.where("n_tokens > 0").select("doc_id", F.explode(F.sequence(F.lit(0), ((F.col("n_tokens") - 1) / capacity).cast("int"))).alias("piece"), "n_tokens")
     pieces = cut_up.select("doc_id", "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece") * capacity).cast("int").alias("n_tokens"))
-    pieces = pieces.withColumn("spread", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SPREAD)).cast("int"))
-    groups = pieces.groupBy("n_tokens", "spread").agg(F.count("*").alias("n")).toPandas()  # at most capacity x SPREAD rows
-    histogram = {int(k): int(v) for k, v in groups.groupby("n_tokens")["n"].sum().items()}
+    histogram = {r.n_tokens: r.n for r in pieces.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     bounds = np.array(optimal_buckets(histogram, buckets) or [capacity])
-    lengths = sorted(histogram)
-    bound_of = {n: int(bounds[np.searchsorted(bounds, n)]) for n in lengths}
-    counts: dict[int, int] = {}
-    for n in lengths:
-        counts[bound_of[n]] = counts.get(bound_of[n], 0) + histogram[n]
-    # where the numbers of each length and group start within their bucket
-    groups = groups.sort_values(["n_tokens", "spread"])
-    groups["bound"] = [bound_of[int(n)] for n in groups["n_tokens"]]
-    groups["first"] = groups.groupby("bound")["n"].cumsum() - groups["n"]
+    lengths, counts = [], {}
+    for n in sorted(histogram):  # where the numbers of each length start within its bucket
+        bound = int(bounds[np.searchsorted(bounds, n)])
+        lengths.append((n, bound, counts.get(bound, 0), -(-histogram[n] // GROUP)))
+        counts[bound] = counts.get(bound, 0) + histogram[n]
     # each pattern takes a run of numbers from each of its buckets
-    rows, used, unit = [], dict.fromkeys(counts, 0), 0
+    used, unit = dict.fromkeys(counts, 0), 0
+    runs: dict[int, list] = {}
     for units, pattern in batch_patterns(counts, capacity, mix):
         for b, k in pattern:
-            rows.append((b, used[b], k, unit))
+            runs.setdefault(b, []).append((used[b], k, unit))
             used[b] += k * units
         unit += units
-    runs: dict[int, list] = {}
-    for b, first, k, u in rows:
-        runs.setdefault(b, []).append((first, k, u))
-    shared = spark.sparkContext.broadcast(({(int(r.n_tokens), int(r.spread)): (int(r.first), int(r.bound)) for r in groups.itertuples()}, {b: np.array(v, np.int64) for b, v in runs.items()}))
+    shared = spark.sparkContext.broadcast({b: np.array(v, np.int64) for b, v in runs.items()})
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        starts, taken = shared.value
-        key, number = None, 0
-        for b in batches:  # in order of length and group
+        for b in batches:
+            number, bound = b["number"].to_numpy(np.int64), b["bound"].to_numpy()
             units = np.empty(len(b), np.int64)
-            for i, (n, s) in enumerate(zip(b["n_tokens"].tolist(), b["spread"].tolist(), strict=True)):
-                number = number + 1 if (n, s) == key else 0
-                key = (n, s)
-                first, bound = starts[key]
-                run = taken[bound]
-                r = run[np.searchsorted(run[:, 0], first + number, "right") - 1]
-                units[i] = r[2] + (first + number - r[0]) // r[1]
+            for x in np.unique(bound):
+                at, run = bound == x, shared.value[int(x)]
+                r = run[np.searchsorted(run[:, 0], number[at], "right") - 1]
+                units[at] = r[:, 2] + (number[at] - r[:, 0]) // r[:, 1]
             b["unit_id"] = units
             yield b[["doc_id", "piece", "start", "n_tokens", "unit_id"]]
 
-    ordered = pieces.repartition("n_tokens", "spread").sortWithinPartitions("n_tokens", "spread", "doc_id", "piece")
-    return ordered.mapInPandas(assign, "doc_id bigint, piece int, start int, n_tokens int, unit_id bigint")
+    of_length = F.broadcast(spark.createDataFrame(lengths, "n_tokens int, bound int, base bigint, groups int"))  # at most capacity rows
+    spread = pieces.join(of_length, "n_tokens").withColumn("spread", F.pmod(F.xxhash64("doc_id", "piece"), F.col("groups")).cast("int"))
+    sized = spread.groupBy("n_tokens", "spread").agg(F.count("*").alias("n"), F.first("base").alias("base"))
+    first = sized.select("n_tokens", "spread", (F.col("base") + F.sum("n").over(Window.partitionBy("n_tokens").orderBy("spread")) - F.col("n")).alias("first"))
+    own = F.row_number().over(Window.partitionBy("n_tokens", "spread").orderBy("doc_id", "piece"))
+    numbered = spread.withColumn("place", own).join(first, ["n_tokens", "spread"]).withColumn("number", F.col("first") + F.col("place") - 1)
+    return numbered.select("doc_id", "piece", "start", "n_tokens", "bound", "number").mapInPandas(assign, "doc_id bigint, piece int, start int, n_tokens int, unit_id bigint")
 
 
 def unit_fill(packed: DataFrame, capacity: int) -> DataFrame:

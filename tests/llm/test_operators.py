@@ -358,6 +358,18 @@ def test_optimal_buckets():
         assert padding(got) == best
 
 
+def test_many_buckets_in_little_time():
+    hist = {n: 1 + n * 7919 % 101 for n in range(1, 4097)}
+    few, many = packing.optimal_buckets(hist, 16), packing.optimal_buckets(hist, 512)
+    assert (len(few), len(many), many[-1]) == (16, 512, 4096)
+
+
+def test_one_length_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 7)
+    out = packing.pack(spark.range(500).selectExpr("id AS doc_id", "5L AS n_tokens"), 16).groupBy("unit_id").agg(F.count("*").alias("n"))
+    assert {r.n: r["count"] for r in out.groupBy("n").count().collect()} == {3: 166, 2: 1}
+
+
 def test_token_counts(spark):
     pytest.importorskip("public_tokenizers")
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, "")], "doc_id bigint, text string")
