@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossweave.llm.scan import mix, pieces, words
+from glossweave.session import cut
 
 #: Words that a verbatim stretch needs to count; a changed word ends a stretch.
 STRETCH = 5
@@ -24,8 +25,9 @@ SHARE = 1 / 3
 EXTENT, VERBATIM = 0.9 * SHARE, 0.75 * SHARE
 #: No piece with fewer verbatim words counts: quotes of under ten words are no case.
 LEAST = 10
-#: Passage words in one automaton; more passages go into further automatons, one pass over the corpus each.
-BLOCK_WORDS = 2_000_000
+#: Passage words in one automaton, at most two states each and about half a kilobyte a state in each worker; more
+#: passages go into further automatons, one pass over the corpus each.
+BLOCK_WORDS = 300_000
 
 
 def passage(kind: str | None, text: str | None) -> str:
@@ -259,15 +261,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 def remove_leaks(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_share: float = 0.5) -> DataFrame:
     """The documents without leaked spans; a document of which more than `max_share` leaked goes as a whole.
 
-    Overlapping spans are cut once. Documents without leaks and null texts pass unchanged.
+    Overlapping spans are cut once. Documents without leaks and null texts pass unchanged, and without Python; while
+    the leaked ids are few enough to be broadcast by their measured size, no document is shuffled.
     """
-    spans = leaks.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("_spans")).withColumnRenamed("doc_id", id_col)
+    spans = cut(leaks.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("_spans")).withColumnRenamed("doc_id", id_col))
 
     def cut_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts, keep = [], []
             for text, found in zip(b[text_col], b["_spans"], strict=True):
-                if text is None or found is None or not len(found):
+                if text is None:
                     texts.append(text)
                     keep.append(True)
                     continue
@@ -280,8 +283,9 @@ def remove_leaks(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id", text
             b[text_col] = texts
             yield b.drop(columns="_spans")[pd.Series(keep, index=b.index)]
 
-    joined = docs.join(spans, id_col, "left")
-    return joined.mapInPandas(cut_spans, docs.select(id_col, *[c for c in docs.columns if c != id_col]).schema)
+    columns = [id_col, *[c for c in docs.columns if c != id_col]]
+    touched = docs.join(spans, id_col).select(*columns, "_spans").mapInPandas(cut_spans, docs.select(*columns).schema)
+    return docs.join(spans.select(id_col), id_col, "left_anti").select(*columns).unionByName(touched)
 
 
 def _found(spark, d):
