@@ -203,7 +203,8 @@ class Model:
                 new.append(self.learned.get(seq) or self.learned.get(seq.lower()) or seq)
                 k += max(n, 1)
             run, before, after = "".join(new), text[i - 1 : i] or " ", text[j : j + 1] or " "
-            if run != text[i:j]:
+            cased = run.islower() and (before.isupper() or (before.isspace() and after.isupper()))  # a small letter among capitals
+            if run != text[i:j] and not cased:
                 (a, n), (b, m) = self._likelihood_of(before + text[i:j] + after), self._likelihood_of(before + run + after)
                 if n and m and b / m - a / n > GAIN:
                     done += 1

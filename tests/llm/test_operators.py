@@ -315,6 +315,12 @@ def test_an_unlisted_encoding_is_learned(spark):
     assert not any(i < 243 for i in found)
 
 
+def test_capitals_are_no_small_letters():
+    model = mojibake.Model({"é": 900, "rè": 10, "ès": 10, "ré": 500, "és": 500}, [], {"È": "é"})
+    assert model.repair("TRÈS CHER") == ("TRÈS CHER", False)
+    assert model.repair("trÈs cher") == ("trés cher", True)
+
+
 def test_contexts_stay_small():
     assert sum(len(k) for k, _ in mojibake.runs("é une ligne " * 1000)) < 60 * 2000
 
