@@ -2,87 +2,125 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from itertools import islice
+from tempfile import TemporaryFile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossweave.functions.text import normalize_label, normalize_text, safe_ratio, tokenize
-from glossweave.session import cut
 
-#: Overlapping pairs up to which tasks match in order, group by group; of more, rounds over all tasks match what they can first.
-SMALL = 2_000_000
-#: Spans of one word in a group from which its rows are spread over several tasks.
-SPREAD = 20_000
+#: Consensus spans of a group that its task holds at once; further ones wait in a file, with the model spans that the first leave free.
+SMALL = 200_000
+#: Consensus spans whose words share a bit mask.
+BLOCK = 2_048
 
 
 def _numbered(df: DataFrame, labelled: bool, normalize_titles: bool) -> DataFrame:
-    """(g, ord, tokens): a span's group, that is its title and labels as one hash, its place and its distinct words."""
+    """(g, title, ord, words): a span's group, that is its title and labels as one hash, its place and its distinct words."""
     title = F.coalesce("title", F.lit("UNKNOWN_TITLE"))
     key = [normalize_text(title) if normalize_titles else title] + ([normalize_label(F.col("category")), normalize_label(F.col("subcategory"))] if labelled else [])
-    return df.select(F.md5(F.to_json(F.array(*key))).alias("g"), key[0].alias("title"), "ord", F.array_distinct(tokenize(F.col("text"))).alias("tokens"))
-
-
-def overlapping_pairs(llm: DataFrame, gold: DataFrame, min_overlap: int = 2, spread: int = SPREAD) -> DataFrame:
-    """(g, l, o): places of model and consensus spans of a group that share `min_overlap` words or more.
-
-    Spans are sought under their rarest words of the group; the last min_overlap - 1 can't be the first of
-    so many shared ones. A word of more than `spread` spans is spread over several tasks.
-    """
-    if min_overlap < 1:
-        return llm.select("g", F.col("ord").alias("l")).join(gold.select("g", F.col("ord").alias("o")), "g")
-    words = [df.select("g", "ord", F.explode("tokens").alias("word")) for df in (llm, gold)]
-    seen = [w.groupBy("g", "word").agg(F.count("*").alias(n)) for w, n in zip(words, ("n", "m"), strict=True)]
-    both = cut(seen[0].join(seen[1], ["g", "word"]))
-
-    def keys(w: DataFrame, name: str, hashes: str) -> DataFrame:
-        ranked = w.join(both, ["g", "word"]).groupBy("g", "ord").agg(F.array_sort(F.collect_list(F.struct((F.col("n") + F.col("m")).alias("n"), "word", "m"))).alias("words")).where(F.size("words") >= min_overlap)
-        return ranked.select("g", F.col("ord").alias(name), F.transform("words", lambda v: F.xxhash64(v["word"])).alias(hashes), F.inline(F.slice("words", F.lit(1), F.size("words") - (min_overlap - 1))))
-
-    parts = F.ceil(F.col("m") / spread).cast("int")
-    x = keys(words[0], "l", "x").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n", "m")
-    y = keys(words[1], "o", "y").withColumn("part", F.pmod(F.xxhash64("o"), parts).cast("int")).drop("n", "m")
-    shared = F.array_intersect("x", "y")
-    first = F.get(shared, F.lit(0)) == F.xxhash64("word")  # a pair comes once, under the first word that it shares
-    return x.join(y, ["g", "word", "part"]).where((F.size(shared) >= min_overlap) & first).select("g", "l", "o")
-
-
-def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs in order of group, model span and consensus span: each model span takes the first free one."""
-    group, taken, last = None, set(), None
-    for batch in batches:
-        keep = []
-        for g, l, o in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):  # noqa: E741
-            if g != group:
-                group, taken, last = g, set(), None
-            new = l != last and o not in taken
-            if new:
-                taken.add(o)
-                last = l
-            keep.append(new)
-        out = batch.filter(pa.array(keep, pa.bool_()))
-        yield pa.RecordBatch.from_arrays([out.column(0)], names=["g"])
-
-
-def greedy_matches(pairs: DataFrame, small: int = SMALL) -> DataFrame:
-    """(g, n): matches of each group if each model span in order takes the first free consensus span that overlaps it.
-
-    Up to `small` pairs are matched in order, by group. Of more, a round keeps every pair in which either span
-    is the other's first, as no other pair can take one of the two before, and drops the other pairs of both;
-    until no more than `small` are left.
-    """
-    order = lambda c: F.struct(F.col(c))
-    rest, found = cut(pairs), []
-    while rest.count() > small:
-        firsts = rest.groupBy("g", "l").agg(F.min("o").alias("o")).join(rest.groupBy("g", "o").agg(F.min("l").alias("l")), ["g", "l", "o"])
-        firsts = cut(firsts.select("g", "l", "o"))
-        found.append(firsts.groupBy("g").agg(F.count("*").alias("n")))
-        rest = cut(rest.join(firsts.select("g", "l"), ["g", "l"], "left_anti").join(firsts.select("g", "o"), ["g", "o"], "left_anti").select("g", "l", "o"))
-    keyed = rest.select("g", F.to_json(order("l")).alias("kl"), F.to_json(order("o")).alias("ko"), "l", "o")
-    found.append(keyed.repartition("g").sortWithinPartitions("g", "l", "o").drop("l", "o").mapInArrow(_greedy, "g string").groupBy("g").agg(F.count("*").alias("n")))
-    return reduce(DataFrame.unionByName, found).groupBy("g").agg(F.sum("n").alias("n"))
+    return df.select(F.unhex(F.md5(F.to_json(F.array(*key)))).alias("g"), key[0].alias("title"), "ord", F.array_join(F.array_distinct(tokenize(F.col("text"))), " ").alias("words"))
+
+
+class _Free:
+    """Consensus spans in order that no model span has taken: by blocks, and in each the spans of a word as a bit mask."""
+
+    def __init__(self, spans: list[str], min_overlap: int) -> None:
+        self.need, self.blocks = max(0, min_overlap), []
+        for i in range(0, len(spans), BLOCK):
+            masks: dict[str, int] = {}
+            for k, words in enumerate(spans[i : i + BLOCK]):
+                for w in words.split(" "):
+                    masks[w] = masks.get(w, 0) | 1 << k
+            masks.pop("", None)
+            self.blocks.append([(1 << min(BLOCK, len(spans) - i)) - 1, masks])
+
+    def take(self, words: str) -> bool:
+        """Whether any shares enough of these words; the first one that does is taken."""
+        for block in self.blocks:
+            free, masks = block
+            at = [free] + [0] * self.need  # at[k]: free spans with k of the words or more
+            for w in words.split(" "):
+                if m := masks.get(w):
+                    for k in range(self.need, 0, -1):
+                        at[k] |= at[k - 1] & m
+            if hit := at[-1] & -at[-1]:
+                block[0] ^= hit
+                if not block[0]:
+                    self.blocks.remove(block)
+                return True
+        return False
+
+
+class _Group:
+    """One group's spans: all consensus spans in order, then all model spans in order, each taking the first free one that overlaps it."""
+
+    def __init__(self, title: str, min_overlap: int, small: int) -> None:
+        self.title, self.min_overlap, self.small = title, min_overlap, small
+        self.correct = self.total_llm = self.total_gold = 0
+        self.held: list[str] = []
+        self.free, self.more, self.left = None, None, None
+
+    def gold(self, words: str) -> None:
+        self.total_gold += 1
+        if len(self.held) < self.small:
+            self.held.append(words)
+        else:
+            self.more = self.more or TemporaryFile("w+", encoding="utf-8", newline="\n")
+            self.more.write(words + "\n")
+
+    def model(self, words: str) -> None:
+        self.total_llm += 1
+        if not self.free:
+            self.free, self.held = _Free(self.held, self.min_overlap), []
+            self.left = TemporaryFile("w+", encoding="utf-8", newline="\n") if self.more else None
+        self._take(words)
+
+    def _take(self, words: str) -> None:
+        if self.free.take(words):
+            self.correct += 1
+        elif self.left:
+            self.left.write(words + "\n")
+
+    def counts(self) -> tuple[str, int, int, int]:
+        """What is left goes on to the consensus spans that wait: which earlier ones a model span missed depends on no later ones."""
+        if self.more and self.left:
+            self.more.seek(0)
+            while spans := [line[:-1] for line in islice(self.more, self.small)]:
+                rest, self.left = self.left, TemporaryFile("w+", encoding="utf-8", newline="\n")
+                self.free = _Free(spans, self.min_overlap)
+                rest.seek(0)
+                for line in rest:
+                    self._take(line[:-1])
+                rest.close()
+            self.left.close()
+        if self.more:
+            self.more.close()
+        return self.title, self.correct, self.total_llm, self.total_gold
+
+
+def _greedy(min_overlap: int, small: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = ["title", "correct", "total_llm", "total_gold"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, group = None, None
+        for batch in batches:
+            done = []
+            for g, title, side, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != last:
+                    if group:
+                        done.append(group.counts())
+                    last, group = g, _Group(title, min_overlap, small)
+                (group.model if side else group.gold)(words)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=names)
+        if group:
+            yield pa.RecordBatch.from_arrays([pa.array([c]) for c in group.counts()], names=names)
+
+    return run
 
 
 def count_matches(llm: DataFrame, gold: DataFrame, min_overlap: int = 2, labelled: bool = True, normalize_titles: bool = False, small: int = SMALL) -> DataFrame:
@@ -92,12 +130,15 @@ def count_matches(llm: DataFrame, gold: DataFrame, min_overlap: int = 2, labelle
     are part of a group, so the ordered matching runs within one title and label; `labelled=False` matches by words
     alone. Titles are compared as they are, or without case and punctuation with `normalize_titles`. A null title
     counts as UNKNOWN_TITLE, a null text has no words. Titles on one side only count nowhere.
+
+    Each model span in order takes the first free consensus span that shares `min_overlap` words or more. One task has a
+    group, its spans come in order and no pairs are listed; it holds `small` consensus spans of the group at once.
     """
     x, y = (_numbered(df, labelled, normalize_titles) for df in (llm, gold))
-    totals = [df.groupBy("title").agg(F.count("*").alias(name)) for df, name in ((x, "total_llm"), (y, "total_gold"))]
-    titles = x.groupBy("g").agg(F.first("title").alias("title"))
-    correct = greedy_matches(overlapping_pairs(x, y, min_overlap), small).join(titles, "g").groupBy("title").agg(F.sum("n").alias("correct"))
-    return totals[0].join(totals[1], "title").join(correct, "title", "left").select("title", F.coalesce("correct", F.lit(0)).cast("bigint").alias("correct"), "total_llm", "total_gold")
+    rows = y.select("g", "title", F.lit(0).alias("side"), F.col("ord").alias("o"), F.lit(None).alias("l"), "words").union(x.select("g", "title", F.lit(1).alias("side"), F.lit(None).alias("o"), F.col("ord").alias("l"), "words"))
+    matched = rows.repartition("g").sortWithinPartitions("g", "side", "o", "l").select("g", "title", "side", "words")
+    groups = matched.mapInArrow(_greedy(min_overlap, max(1, small)), "title string, correct bigint, total_llm bigint, total_gold bigint")
+    return groups.groupBy("title").agg(*[F.sum(c).alias(c) for c in ("correct", "total_llm", "total_gold")]).where("total_llm > 0 AND total_gold > 0")
 
 
 def rounded(scored: DataFrame, places: int = 3) -> DataFrame:

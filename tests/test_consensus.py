@@ -196,3 +196,9 @@ def test_assigned(spark):
     picks = spark.createDataFrame([(1,), (9,)], "idx bigint")
     (r,) = articles.assigned(picks, listed).agg(articles.title_list(F.collect_list(F.struct("id", "title", "idx"))).alias("a")).collect()
     assert [tuple(x) for x in r.a] == [(2, None)]
+
+
+def test_a_hot_group_lists_no_pairs(spark):
+    rows = spark.range(20_000).selectExpr("'T' title", "id ord", "'a b' text", "'C' category", "'X' subcategory")
+    r = evaluate.count_matches(rows, rows).first()  # 400 million overlapping pairs
+    assert (r.correct, r.total_llm, r.total_gold) == (20_000, 20_000, 20_000)
