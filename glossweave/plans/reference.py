@@ -168,7 +168,7 @@ def rounded_eval(spark, d):
 
 def comparison_file(spark, d):
     """The comparison object of all titles, read back as rows."""
-    counts = evaluate.count_matches(*_sides(spark, d))
+    counts = cut(evaluate.count_matches(*_sides(spark, d)))
     value = files.comparison_object(evaluate.scores(counts), evaluate.overall(counts))
     part = "struct<article_match: struct<precision: double, f1: double, correct_matches: bigint, total_gold: bigint>>"
     read = value.select(F.from_json("value", f"struct<overall: {part}, per_article: map<string, {part}>>").alias("j"))

@@ -202,3 +202,10 @@ def test_a_hot_group_lists_no_pairs(spark):
     rows = spark.range(20_000).selectExpr("'T' title", "id ord", "'a b' text", "'C' category", "'X' subcategory")
     r = evaluate.count_matches(rows, rows).first()  # 400 million overlapping pairs
     assert (r.correct, r.total_llm, r.total_gold) == (20_000, 20_000, 20_000)
+
+
+def test_the_comparison_matches_once(spark):
+    from glossweave import plans
+
+    plan = plans.QUERIES["comparison_file"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "token" not in plan
