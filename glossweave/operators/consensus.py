@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
+from tempfile import TemporaryFile
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossweave.functions.text import content_tokens, intersect_window, normalize_text, spans_match, tokenize
+from glossweave.functions.text import STOPWORDS, content_tokens, intersect_window, normalize_text, split_words
 from glossweave.session import cut
 
 #: Text that stands for "nothing selected".
@@ -19,8 +21,14 @@ SENTINEL = "no polarizing language selected"
 SMALL = 200_000
 #: Members of a cluster whose texts are folded in one row; larger clusters are folded in rounds.
 FOLD = 10_000
-#: Texts of one word in an article from which its rows are spread over several tasks.
-SPREAD = 20_000
+#: Texts, and bytes of texts, that are searched at once.
+SPREAD, CHUNK = 20_000, 1 << 19
+#: Bytes of the longest window by which a text is found in others.
+WINDOW = 64
+
+_STOP = frozenset(STOPWORDS)
+_BASE = 0x9E3779B97F4A7C15
+_BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def drop_sentinel(spans: DataFrame, normalize: bool = False) -> DataFrame:
@@ -34,32 +42,149 @@ def span_classes(spans: DataFrame) -> DataFrame:
 
     Spans of equal normalised text share their cluster: whatever leader takes the first takes the others.
     """
-    own = spans.select("article_id", "ord", normalize_text(F.col("text")).alias("norm"), content_tokens(tokenize(F.col("text"))).alias("content"))
-    return own.groupBy("article_id", "norm").agg(F.min("ord").alias("ord"), F.first("content").alias("content"))
+    own = spans.select("article_id", "ord", normalize_text(F.col("text")).alias("norm")).groupBy("article_id", "norm").agg(F.min("ord").alias("ord"))
+    return own.select("article_id", "norm", content_tokens(split_words(F.col("norm"))).alias("content"), "ord")
+
+
+class _Windows:
+    """Hashes of all windows of a size in some bytes, made of those of smaller windows."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        self.size, self.of = len(data), {1: _BYTES[data]}
+
+    def __getitem__(self, w: int) -> np.ndarray:
+        if w not in self.of:
+            a = 1 << (w - 1).bit_length() - 1
+            n = max(0, self.size - w + 1)
+            self.of[w] = self[a][:n] * np.uint64(pow(_BASE, w - a, 1 << 64)) + self[w - a][a : a + n]
+        return self.of[w]
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, k) of all k from low[i] to below high[i]."""
+    n = high - low
+    i = np.repeat(np.arange(len(n)), n)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + low[i]
+
+
+def _mixed(first: np.ndarray, last: np.ndarray, size: np.ndarray) -> np.ndarray:
+    x = (first ^ (last >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + last
+    return (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) + size.astype(np.uint64)
+
+
+def _held_in(data: np.ndarray, at: np.ndarray, sought: np.ndarray, spread: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, y) of texts, which lie in data[at[i]:at[i + 1]], such that the sought x may stand in y, each pair once.
+
+    A text holds another only if it holds the other's first and last window, as far apart as there. Windows
+    have WINDOW bytes; in texts shorter than that the largest power of two, under 8 bytes all of them.
+    """
+    size = np.diff(at)
+    width = np.where(size < 8, size, 1 << np.minimum(WINDOW.bit_length() - 1, np.log2(np.maximum(size, 1)).astype(np.int64)))
+    first, last = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
+
+    def chunks() -> Iterator[tuple[int, int, _Windows]]:
+        low = 0
+        while low < len(size):
+            high = max(low + 1, min(low + spread, int(np.searchsorted(at, at[low] + CHUNK, "right")) - 1))
+            yield low, high, _Windows(np.asarray(data[at[low] : at[high]]))
+            low = high
+
+    widths = np.unique(width[sought])
+    for low, high, windows in chunks():
+        own = sought[np.searchsorted(sought, low) : np.searchsorted(sought, high)]
+        for w in np.unique(width[own]):
+            x = own[width[own] == w]
+            h = windows[int(w)]
+            first[x], last[x] = h[at[x] - at[low]], h[at[x + 1] - w - at[low]]
+    tables = {}
+    for w in widths:
+        x = sought[width[sought] == w]
+        mixed = _mixed(first[x], last[x], size[x])
+        x = x[np.argsort(mixed, kind="stable")]
+        starts = np.unique(np.rec.fromarrays([first[x], size[x]], names="h,n"))
+        keys, begin = np.unique(starts.h, return_index=True)
+        bits = min(27, max(10, len(keys).bit_length() + 3))
+        seen = np.zeros(1 << bits, bool)
+        seen[keys >> np.uint64(64 - bits)] = True
+        tables[int(w)] = x, np.sort(mixed), starts.n, keys, np.append(begin, len(starts)), seen, np.uint64(64 - bits)
+    for low, high, windows in chunks():
+        found = []
+        for w, (x, mixed, sizes, keys, begin, seen, shift) in tables.items():
+            h = windows[w]
+            p = np.flatnonzero(seen[h >> shift])
+            k = np.searchsorted(keys, h[p])
+            k[k == len(keys)] = 0
+            p, k = (v[keys[k] == h[p]] for v in (p, k))
+            y = np.searchsorted(at, at[low] + p, "right") - 1
+            i, j = _ranges(begin[k], begin[k + 1])
+            i, j = (v[at[low] + p[i] + sizes[j] <= at[y[i] + 1]] for v in (i, j))
+            key = _mixed(h[p[i]], h[p[i] + sizes[j] - w], sizes[j])
+            i2, m = _ranges(np.searchsorted(mixed, key), np.searchsorted(mixed, key, "right"))
+            found.append(np.column_stack([x[m], y[i[i2]]]))
+        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        both = both[both[:, 0] != both[:, 1]]
+        yield both[:, 0], both[:, 1]
+
+
+def _matches(spread: int):
+    """Pairs of each article's texts, which come in order of article and place."""
+
+    def of(article: pa.Scalar, texts, sizes: list[int], sought: list[int], ords: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        if not sought or not article.is_valid:
+            return
+        texts.flush()
+        data, at = np.memmap(texts, np.uint8, "r"), np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
+        places = pa.chunked_array(ords)
+
+        @lru_cache(1000)
+        def read(i: int) -> tuple[str, set[str]]:
+            text = data[at[i] : at[i + 1]].tobytes().decode()
+            return text, set(text.split()) - _STOP
+
+        for x, y in _held_in(data, at, np.array(sought, np.int64), max(1, spread)):
+            hit = [read(i)[0] in read(j)[0] and len(read(i)[1] & read(j)[1]) >= 2 for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+            x, y = x[hit], y[hit]
+            if len(x):
+                a, b = (places.take(pa.array(f(x, y))).combine_chunks() for f in (np.minimum, np.maximum))
+                yield pa.RecordBatch.from_arrays([pa.array([article.as_py()] * len(x), article.type), a, b], names=["article_id", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, texts = None, None
+        for batch in batches:
+            articles = batch.column(0)
+            names = articles.to_pylist()
+            low = 0
+            while low < len(names):
+                if texts is None or names[low] != last.as_py():
+                    if texts is not None:
+                        yield from of(last, texts, sizes, sought, ords)
+                        texts.close()
+                    last, texts, sizes, sought, ords = articles[low], TemporaryFile(), [], [], []
+                high = next((i for i in range(low, len(names)) if names[i] != names[low]), len(names))
+                for text in batch.column(1)[low:high].to_pylist():
+                    raw = text.encode()
+                    if len(raw) >= WINDOW or len(raw) > 2 and len(set(text.split()) - _STOP) >= 2:
+                        sought.append(len(sizes))
+                    sizes.append(len(raw))
+                    texts.write(raw)
+                ords.append(batch.column(2)[low:high])
+                low = high
+        if texts is not None:
+            yield from of(last, texts, sizes, sought, ords)
+            texts.close()
+
+    return run
 
 
 def matching_pairs(classes: DataFrame, spread: int = SPREAD) -> DataFrame:
     """(article_id, a, b): places a < b of different texts that match.
 
-    Of two matching texts the longer holds every word of the shorter but perhaps its first and last, cut
-    ones; so of the shorter's three rarest words at least one is a word of the longer. That equi-join
-    finds all pairs, with places and lengths only and with marks of the words; the exact test follows.
-    A word of more than `spread` texts of an article is spread over several tasks.
+    One task has an article, its texts in a file and their windows' hashes in memory: `spread` texts at a time are
+    searched for the first and last windows of all; the exact test follows.
     """
-    marks = F.aggregate(F.transform("content", lambda w: F.pmod(F.xxhash64(w), F.lit(64)).cast("int")), F.lit(0).cast("bigint"), lambda s, k: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k)))
-    words = classes.where(F.size("content") >= 2).select("article_id", "ord", F.length("norm").alias("size"), marks.alias("marks"), F.explode("content").alias("word"))
-    seen = words.groupBy("article_id", "word").agg(F.count("*").alias("n"))
-    counted = words.join(seen, ["article_id", "word"])
-    parts = F.ceil(F.col("n") / spread).cast("int")
-    short = counted.groupBy("article_id", "ord", "size", "marks").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "word"))), 1, 3).alias("rare")).select("article_id", F.col("ord").alias("s"), F.col("size").alias("s_size"), F.col("marks").alias("s_marks"), F.inline("rare"))
-    short = short.withColumn("part", F.pmod(F.xxhash64("s"), parts).cast("int")).drop("n")
-    long = counted.select("article_id", F.col("ord").alias("t"), F.col("size").alias("t_size"), F.col("marks").alias("t_marks"), "word", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    lacks = F.bit_count(F.col("s_marks").bitwiseAND(F.bitwise_not(F.col("t_marks"))))
-    both = short.join(long, ["article_id", "word", "part"]).where((F.col("s") != F.col("t")) & (F.col("s_size") <= F.col("t_size")) & (lacks <= 2)).select("article_id", "s", "t").distinct()
-    for side in ("s", "t"):
-        both = both.join(classes.select("article_id", F.col("ord").alias(side), F.col("norm").alias(f"{side}_norm"), F.col("content").alias(f"{side}_content")), ["article_id", side])
-    hit = both.where(spans_match(F.col("s_norm"), F.col("s_content"), F.col("t_norm"), F.col("t_content")))
-    return hit.select("article_id", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
+    kind = {f.name: f.dataType.simpleString() for f in classes.schema.fields}
+    rows = classes.where("norm <> ''").select("article_id", "norm", "ord").repartition("article_id").sortWithinPartitions("article_id", "ord")
+    return rows.mapInArrow(_matches(spread), f"article_id {kind['article_id']}, a {kind['ord']}, b {kind['ord']}")
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -126,14 +126,15 @@ def _lines(spark, d):
 
 def line_pairs(spark, d):
     """Matching lines of different texts within a source."""
-    pairs = consensus.matching_pairs(cut(consensus.span_classes(_lines(spark, d))))
+    pairs = consensus.matching_pairs(consensus.span_classes(_lines(spark, d)))
     return pairs.select(F.col("article_id").alias("source"), F.col("a.doc_id").alias("a_doc"), F.col("a.pos").alias("a_pos"), F.col("b.doc_id").alias("b_doc"), F.col("b.pos").alias("b_pos"))
 
 
 def line_clusters(spark, d):
     """The leader of each different line that matches any other one of its source."""
-    classes = cut(consensus.span_classes(_lines(spark, d)))
-    led = consensus.leader_clusters(classes, cut(consensus.matching_pairs(classes))).where("ord <> leader")
+    pairs = cut(consensus.matching_pairs(consensus.span_classes(_lines(spark, d))))
+    matched = pairs.select("article_id", F.explode(F.array("a", "b")).alias("ord")).distinct()
+    led = consensus.leader_clusters(matched, pairs).where("ord <> leader")
     return led.select(F.col("article_id").alias("source"), "ord.doc_id", "ord.pos", F.col("leader.doc_id").alias("leader_doc"), F.col("leader.pos").alias("leader_pos"))
 
 

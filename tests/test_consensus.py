@@ -209,3 +209,20 @@ def test_the_comparison_matches_once(spark):
 
     plan = plans.QUERIES["comparison_file"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "MapInArrow" not in plan and "token" not in plan
+
+
+def test_common_words_list_no_pairs(spark):
+    texts = spark.range(20_000).selectExpr("1L article_id", "id ord", "concat('w', 100000 + id, ' north wind and tide v', 100000 + id) text")  # 400 million rows under one word
+    more = spark.createDataFrame([(1, 20_000, "100007 north wind and tide v100007"), (2, 20_001, "w100007 north wind and tide v100007"), (None, 1, "a b c"), (None, 2, "b c"), (1, 20_002, "")], "article_id bigint, ord bigint, text string")
+    assert [tuple(r) for r in consensus.matching_pairs(consensus.span_classes(texts.unionByName(more))).collect()] == [(1, 7, 20_000)]
+
+
+def test_long_and_foreign_texts_within_others(spark):
+    random.seed(5)
+    words = ["été", "ветер", "tide", "of", "風", "ab", "c"]
+    long = [" ".join(random.choice(words) for _ in range(40)) for _ in range(12)]
+    texts = sorted({t for x in long for t in (x, x[: random.randrange(1, 60)].strip(), x[random.randrange(30) :].strip(), x[40 : 40 + random.randrange(1, 90)].strip())} - {""})
+    content = [set(t.split()) - {"of"} for t in texts]
+    expected = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (texts[i] in texts[j] or texts[j] in texts[i]) and len(content[i] & content[j]) >= 2}
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "article_id bigint, ord bigint, text string")
+    assert {(r.a, r.b) for r in consensus.matching_pairs(consensus.span_classes(df), 5).collect()} == expected and len(expected) > 20
