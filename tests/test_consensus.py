@@ -226,3 +226,13 @@ def test_long_and_foreign_texts_within_others(spark):
     expected = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (texts[i] in texts[j] or texts[j] in texts[i]) and len(content[i] & content[j]) >= 2}
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "article_id bigint, ord bigint, text string")
     assert {(r.a, r.b) for r in consensus.matching_pairs(consensus.span_classes(df), 5).collect()} == expected and len(expected) > 20
+
+
+def test_line_clusters_are_made_of_pairs(spark, tmp_path):
+    from glossweave import plans
+
+    lines = [("s", 1, "old harbour tide\nharbour tide\nno pair here"), ("s", 2, "harbour tide rises\nold harbour"), ("t", 3, "harbour tide")]
+    spark.createDataFrame(lines, "source string, doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = plans.QUERIES["line_clusters"](spark, str(tmp_path))
+    assert "posexplode" not in df._jdf.queryExecution().toString()  # the texts are read once, for the pairs
+    assert {(r.doc_id, r.pos, r.leader_doc, r.leader_pos) for r in df.collect()} == {(1, 1, 1, 0), (2, 1, 1, 0)}
