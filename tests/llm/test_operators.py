@@ -504,3 +504,11 @@ def test_words():
     assert (ends - starts).tolist() == [2, 1, 2, 1, 1]
     assert len(scan.words(pa.array([], pa.string()))[0]) == 0
     assert json.dumps(scan.words(pa.array(["ab", "cd"]))[1].tolist()) == "[0, 1, 2]"
+
+
+def test_keys_are_summed_within_the_record(spark):
+    """Word rows go through no shuffle before the one that joins them: neither window nor exchange above the words."""
+    packed = spark.createDataFrame([(1, [65536 + 5, 131072 + 3, 196608 + 3, 262144 + 9], [65536 + 5, 131072 + 3, 196608 + 3]), (2, [65536 + 5], [65536 + 5]), (3, [65536 + 5], [])], "id bigint, packed array<bigint>, known array<bigint>")
+    keys = linkage._keys(packed, packed.selectExpr("id", "0 block"), linkage.Near(2, 0.5, 0.5, 1.5))
+    assert {(r.id, r.word, r.left, r.bits) for r in keys.collect()} == {(1, 196608 + 3, 6, 20), (1, 65536 + 5, 11, 20)}
+    assert "Window" not in keys._jdf.queryExecution().toString()
