@@ -236,3 +236,9 @@ def test_line_clusters_are_made_of_pairs(spark, tmp_path):
     df = plans.QUERIES["line_clusters"](spark, str(tmp_path))
     assert "posexplode" not in df._jdf.queryExecution().toString()  # the texts are read once, for the pairs
     assert {(r.doc_id, r.pos, r.leader_doc, r.leader_pos) for r in df.collect()} == {(1, 1, 1, 0), (2, 1, 1, 0)}
+
+
+def test_rounded_scores_of_a_hot_group(spark):
+    rows = spark.range(30_000).selectExpr("'T' title", "id ord", "'a b c' text", "'C' category", "'X' subcategory")
+    r = evaluate.rounded(evaluate.scores(evaluate.count_matches(rows, rows.where("ord < 10000"), small=4_000))).first()
+    assert (r.correct, r.precision, r.recall, r.f1) == (10_000, 0.333, 1.0, 0.5)
