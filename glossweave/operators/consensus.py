@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 from tempfile import TemporaryFile
 
@@ -73,7 +73,7 @@ def _mixed(first: np.ndarray, last: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _held_in(data: np.ndarray, at: np.ndarray, sought: np.ndarray, spread: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(x, y) of texts, which lie in data[at[i]:at[i + 1]], such that the sought x may stand in y, each pair once.
+    """(x, y) of texts, which lie in data[at[i]:at[i + 1]], such that the sought x may stand in y, each pair once and the y in ascending chunks.
 
     A text holds another only if it holds the other's first and last window, as far apart as there. Windows
     have WINDOW bytes; in texts shorter than that the largest power of two, under 8 bytes all of them.
@@ -126,52 +126,96 @@ def _held_in(data: np.ndarray, at: np.ndarray, sought: np.ndarray, spread: int)
         yield both[:, 0], both[:, 1]
 
 
-def _matches(spread: int):
-    """Pairs of each article's texts, which come in order of article and place."""
+class _Article:
+    """An article's different texts in order: in a file, with their places in reading order beside."""
 
-    def of(article: pa.Scalar, texts, sizes: list[int], sought: list[int], ords: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-        if not sought or not article.is_valid:
+    def __init__(self, article: pa.Scalar) -> None:
+        self.article, self.file = article, TemporaryFile()
+        self.sizes: list[int] = []
+        self.sought: list[int] = []
+        self.ords: list[pa.Array] = []
+
+    def add(self, texts: pa.Array, ords: pa.Array) -> None:
+        for text in texts.to_pylist():
+            raw = text.encode()
+            if len(raw) >= WINDOW or len(raw) > 2 and len(set(text.split()) - _STOP) >= 2:
+                self.sought.append(len(self.sizes))
+            self.sizes.append(len(raw))
+            self.file.write(raw)
+        self.ords.append(ords)
+
+    def candidates(self, spread: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if not self.sought or not self.article.is_valid:
             return
-        texts.flush()
-        data, at = np.memmap(texts, np.uint8, "r"), np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
-        places = pa.chunked_array(ords)
+        self.file.flush()
+        data, at = np.memmap(self.file, np.uint8, "r"), np.concatenate([[0], np.cumsum(np.array(self.sizes, np.int64))])
 
         @lru_cache(1000)
         def read(i: int) -> tuple[str, set[str]]:
             text = data[at[i] : at[i + 1]].tobytes().decode()
             return text, set(text.split()) - _STOP
 
-        for x, y in _held_in(data, at, np.array(sought, np.int64), max(1, spread)):
-            hit = [read(i)[0] in read(j)[0] and len(read(i)[1] & read(j)[1]) >= 2 for i, j in zip(x.tolist(), y.tolist(), strict=True)]
-            x, y = x[hit], y[hit]
-            if len(x):
-                a, b = (places.take(pa.array(f(x, y))).combine_chunks() for f in (np.minimum, np.maximum))
-                yield pa.RecordBatch.from_arrays([pa.array([article.as_py()] * len(x), article.type), a, b], names=["article_id", "a", "b"])
+        self.read = read
+        yield from _held_in(data, at, np.array(self.sought, np.int64), max(1, spread))
+
+    def match(self, x: int, y: int) -> bool:
+        return self.read(x)[0] in self.read(y)[0] and len(self.read(x)[1] & self.read(y)[1]) >= 2
+
+    def rows(self, a: np.ndarray, b: np.ndarray, names: list[str]) -> pa.RecordBatch:
+        places = pa.chunked_array(self.ords)
+        return pa.RecordBatch.from_arrays([pa.array([self.article.as_py()] * len(a), self.article.type), *(places.take(pa.array(v)).combine_chunks() for v in (a, b))], names=["article_id", *names])
+
+
+def _pairs(article: _Article, spread: int) -> Iterator[pa.RecordBatch]:
+    """Places a < b of the texts that match."""
+    for x, y in article.candidates(spread):
+        hit = [article.match(i, j) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+        x, y = x[hit], y[hit]
+        if len(x):
+            yield article.rows(np.minimum(x, y), np.maximum(x, y), ["a", "b"])
+
+
+def _led(article: _Article, spread: int) -> Iterator[pa.RecordBatch]:
+    """Places of the texts that follow a leader, and of the earliest such leader; no pairs are kept.
+
+    A chunk's texts stand in pairs with the texts that they hold and, in this or an earlier chunk, with those that hold them
+    and come earlier. So all earlier matches of a text are known when its chunk is over, and only leaders are carried on.
+    """
+    leader = np.full(len(article.sizes), len(article.sizes))
+    for x, y in article.candidates(spread):
+        a, b = np.minimum(x, y), np.maximum(x, y)
+        use = np.flatnonzero((a < leader[b]) & (leader[a] == len(leader)))
+        use = use[np.lexsort((a[use], b[use]))]
+        for i, j, p, q in zip(*(v[use].tolist() for v in (x, y, a, b)), strict=True):
+            if p < leader[q] and leader[p] == len(leader) and article.match(i, j):
+                leader[q] = p
+    found = np.flatnonzero(leader < len(leader))
+    for low in range(0, len(found), SPREAD):
+        part = found[low : low + SPREAD]
+        yield article.rows(part, leader[part], ["ord", "leader"])
+
+
+def _by_article(of: Callable[[_Article, int], Iterator[pa.RecordBatch]], spread: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What `of` finds in each article, whose texts (article_id, norm, ord) come in order of article and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, texts = None, None
+        last = None
         for batch in batches:
             articles = batch.column(0)
             names = articles.to_pylist()
             low = 0
             while low < len(names):
-                if texts is None or names[low] != last.as_py():
-                    if texts is not None:
-                        yield from of(last, texts, sizes, sought, ords)
-                        texts.close()
-                    last, texts, sizes, sought, ords = articles[low], TemporaryFile(), [], [], []
+                if last is None or names[low] != last.article.as_py():
+                    if last is not None:
+                        yield from of(last, spread)
+                        last.file.close()
+                    last = _Article(articles[low])
                 high = next((i for i in range(low, len(names)) if names[i] != names[low]), len(names))
-                for text in batch.column(1)[low:high].to_pylist():
-                    raw = text.encode()
-                    if len(raw) >= WINDOW or len(raw) > 2 and len(set(text.split()) - _STOP) >= 2:
-                        sought.append(len(sizes))
-                    sizes.append(len(raw))
-                    texts.write(raw)
-                ords.append(batch.column(2)[low:high])
+                last.add(batch.column(1)[low:high], batch.column(2)[low:high])
                 low = high
-        if texts is not None:
-            yield from of(last, texts, sizes, sought, ords)
-            texts.close()
+        if last is not None:
+            yield from of(last, spread)
+            last.file.close()
 
     return run
 
@@ -184,7 +228,19 @@ def matching_pairs(classes: DataFrame, spread: int = SPREAD) -> DataFrame:
     """
     kind = {f.name: f.dataType.simpleString() for f in classes.schema.fields}
     rows = classes.where("norm <> ''").select("article_id", "norm", "ord").repartition("article_id").sortWithinPartitions("article_id", "ord")
-    return rows.mapInArrow(_matches(spread), f"article_id {kind['article_id']}, a {kind['ord']}, b {kind['ord']}")
+    return rows.mapInArrow(_by_article(_pairs, spread), f"article_id {kind['article_id']}, a {kind['ord']}, b {kind['ord']}")
+
+
+def text_leaders(spans: DataFrame, spread: int = SPREAD) -> DataFrame:
+    """(article_id, ord, leader) of each different text, by its first place, that matches an earlier leader of its article.
+
+    What `leader_clusters` gives for followers, without pairs: spans (article_id, ord, text) are shuffled once, by article, and the task that finds
+    an article's matches, as in `matching_pairs`, settles them as well.
+    """
+    own = spans.select("article_id", "ord", normalize_text(F.col("text")).alias("norm")).where("article_id IS NOT NULL AND norm <> ''").repartition("article_id")
+    rows = own.groupBy("article_id", "norm").agg(F.min("ord").alias("ord")).select("article_id", "norm", "ord").sortWithinPartitions("article_id", "ord")
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.mapInArrow(_by_article(_led, spread), f"article_id {kind['article_id']}, ord {kind['ord']}, leader {kind['ord']}")
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -131,10 +131,8 @@ def line_pairs(spark, d):
 
 
 def line_clusters(spark, d):
-    """The leader of each different line that matches any other one of its source."""
-    pairs = cut(consensus.matching_pairs(consensus.span_classes(_lines(spark, d))))
-    matched = pairs.select("article_id", F.explode(F.array("a", "b")).alias("ord")).distinct()
-    led = consensus.leader_clusters(matched, pairs).where("ord <> leader")
+    """The leader of each different line that follows an earlier one of its source."""
+    led = cut(consensus.text_leaders(_lines(spark, d)))
     return led.select(F.col("article_id").alias("source"), "ord.doc_id", "ord.pos", F.col("leader.doc_id").alias("leader_doc"), F.col("leader.pos").alias("leader_pos"))
 
 

@@ -238,6 +238,36 @@ def test_line_clusters_are_made_of_pairs(spark, tmp_path):
     assert {(r.doc_id, r.pos, r.leader_doc, r.leader_pos) for r in df.collect()} == {(1, 1, 1, 0), (2, 1, 1, 0)}
 
 
+@pytest.mark.parametrize("spread", [consensus.SPREAD, 3, 1])
+def test_text_leaders_against_brute_force(spark, spread):
+    random.seed(6)
+    words = "aa bb cc dd ee ff the of".split()
+    rows = [(a, i, " ".join(random.choice(words) for _ in range(random.randrange(7)))) for a in range(3) for i in range(90)]
+    expected = set()
+    for a in range(3):
+        texts = list(dict.fromkeys(t for b, _, t in rows if a == b))
+        first = [next(i for b, i, t in rows if (b, t) == (a, x)) for x in texts]
+        content = [set(t.split()) - {"the", "of"} for t in texts]
+        near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (texts[i] in texts[j] or texts[j] in texts[i]) and len(content[i] & content[j]) >= 2]
+        expected |= {(a, first[b], first[p]) for b, p in leaders(len(texts), near).items() if b != p}
+    got = consensus.text_leaders(spark.createDataFrame([*rows, (None, 1, "aa bb"), (None, 2, "aa bb cc"), (1, 99, None)], "article_id bigint, ord bigint, text string"), spread)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(expected) and len(expected) > 30
+
+
+def test_line_clusters_keep_no_pairs(spark, tmp_path, monkeypatch):
+    from glossweave import plans
+
+    kept = []
+    monkeypatch.setattr(plans.reference, "cut", lambda df: kept.append(df) or df)
+    monkeypatch.setattr(consensus, "cut", lambda df: kept.append(df) or df)
+    lines = [("s", i, f"old harbour tide {100 + i}\nharbour tide") for i in range(30)]
+    spark.createDataFrame(lines, "source string, doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = plans.QUERIES["line_clusters"](spark, str(tmp_path))
+    assert [x.columns for x in kept] == [["article_id", "ord", "leader"]]
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # texts are shuffled once
+    assert {(r.doc_id, r.pos, r.leader_doc, r.leader_pos) for r in df.collect()} == {(0, 1, 0, 0)}
+
+
 def test_rounded_scores_of_a_hot_group(spark):
     rows = spark.range(30_000).selectExpr("'T' title", "id ord", "'a b c' text", "'C' category", "'X' subcategory")
     r = evaluate.rounded(evaluate.scores(evaluate.count_matches(rows, rows.where("ord < 10000"), small=4_000))).first()
